@@ -94,6 +94,16 @@ select concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) as
 from lineitem""",
     "vectors": """
 select vec_id as chunk_id, label % 5 as tenant_id, embedding from embeddings""",
+    "llm_attempts": """
+select cast(floor(event_id / 2) as bigint) as call_id, cast(event_id % 2 + 1 as int) as attempt,
+       cast(user_id % 5 as int) as tenant_id,
+       case when event_id % 2 = 0 then 'llama-3.3-70b-versatile' else 'models/gemini-flash-latest' end as model,
+       event_type <> 'error' as succeeded,
+       case when event_type = 'error'
+            then printf('HTTP %d from provider', cast(floor(value) as bigint) % 10 + 420) end as error_message,
+       cast(regexp_extract(props, '[0-9]+', 0) as int) * 10 as input_tokens,
+       cast(event_id % 7 as int) * 100 as output_tokens
+from events""",
 }
 
 # Fixtures that read other fixtures (dependency order matters in the WITH list).
@@ -110,6 +120,8 @@ def with_fixtures(names: list[str], body: str) -> str:
                 ordered.append(d)
     ctes = ",\n".join(f"{n} as ({FIXTURE_SQL[n]}\n)" for n in ordered)
     body = body.strip()
+    if not ctes:
+        return f"with {body[1:].lstrip()}" if body.startswith(",") else body
     if body.startswith(","):
         return f"with {ctes}{body}"
     return f"with {ctes}\n{body}"

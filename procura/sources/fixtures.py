@@ -194,3 +194,32 @@ def vectors(t: Tables) -> DataFrame:
     return t.embeddings.select(
         F.col("vec_id").alias("chunk_id"), (F.col("label") % 5).alias("tenant_id"),
         F.col("embedding"))
+
+
+def llm_attempts(t: Tables) -> DataFrame:
+    """Model-call attempts: two events make one call (primary, then fallback)."""
+    from ..operators.runs import FALLBACK_MODEL, PRIMARY_MODEL
+    k = F.regexp_extract(F.col("props"), "[0-9]+", 0).cast("int")
+    attempt = (F.col("event_id") % 2 + 1).cast("int")
+    failed = F.col("event_type") == "error"
+    return t.events.select(
+        F.floor(F.col("event_id") / 2).cast("bigint").alias("call_id"),
+        attempt.alias("attempt"),
+        (F.col("user_id") % 5).cast("int").alias("tenant_id"),
+        F.when(attempt == 1, PRIMARY_MODEL).otherwise(FALLBACK_MODEL).alias("model"),
+        (~failed).alias("succeeded"),
+        F.when(failed, F.format_string("HTTP %d from provider",
+                                       (F.floor(F.col("value")).cast("bigint") % 10 + 420)))
+         .alias("error_message"),
+        (k * 10).alias("input_tokens"),
+        ((F.col("event_id") % 7).cast("int") * 100).alias("output_tokens"),
+    )
+
+
+def query_log(t: Tables) -> DataFrame:
+    """Generated SQL to screen: ``item_id % 11`` picks one of the test statements."""
+    from ..plans.q_guards import SCREEN_STATEMENTS
+    stmts = F.array(*[F.lit(s) for s in SCREEN_STATEMENTS])
+    return t.benchmark.select(
+        F.col("item_id").alias("query_id"),
+        F.element_at(stmts, (F.col("item_id") % len(SCREEN_STATEMENTS) + 1).cast("int")).alias("sql"))
