@@ -104,6 +104,21 @@ select cast(floor(event_id / 2) as bigint) as call_id, cast(event_id % 2 + 1 as
        cast(regexp_extract(props, '[0-9]+', 0) as int) * 10 as input_tokens,
        cast(event_id % 7 as int) * 100 as output_tokens
 from events""",
+    "cache_snapshot": """
+select cast(q.conv_id as varchar) as cache_id, q.conv_id % 5 as tenant_id,
+       sha256(concat_ws(':', q.conv_id % 5, 'llama-3.3-70b-versatile',
+                        trim(regexp_replace(lower(q.text), '\\s+', ' ', 'g')))) as query_hash,
+       q.text as prompt_text, a.text as response_text, 'llama-3.3-70b-versatile' as model_used,
+       true as has_embedding, cast(0 as bigint) as hit_count
+from conversations q
+join (select conv_id, min(turn) as turn from conversations where role = 'user' group by 1) f
+  on f.conv_id = q.conv_id and f.turn = q.turn
+left join (select conv_id, turn - 1 as turn, text from conversations where role = 'assistant') a
+  on a.conv_id = q.conv_id and a.turn = q.turn""",
+    "prompt_batch": """
+select conv_id || '-' || turn as prompt_id, conv_id * 1000000 + turn as seq, conv_id % 5 as tenant_id,
+       text as prompt, conv_id, turn
+from conversations where role = 'user'""",
 }
 
 # Fixtures that read other fixtures (dependency order matters in the WITH list).

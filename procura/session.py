@@ -63,3 +63,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def default_sf_dir() -> str:
     return os.environ.get("PROCURA_SF_DIR", "/root/testdata/sf0.01")
+
+
+def materialize(df):
+    """Write ``df`` to the shared checkpoint folder and read it back (cuts lineage).
+
+    Used where one derived table feeds several branches of a plan; a reliable
+    checkpoint survives executor loss (unlike a local one)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

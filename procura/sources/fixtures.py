@@ -223,3 +223,28 @@ def query_log(t: Tables) -> DataFrame:
     return t.benchmark.select(
         F.col("item_id").alias("query_id"),
         F.element_at(stmts, (F.col("item_id") % len(SCREEN_STATEMENTS) + 1).cast("int")).alias("sql"))
+
+
+def cache_snapshot(t: Tables) -> DataFrame:
+    """Cache entries: each conversation's first user prompt with the reply that follows."""
+    from ..operators.conversation import prompt_key
+    from ..operators.runs import PRIMARY_MODEL
+    c = t.conversations.select("conv_id", "turn", "role", "text")
+    first = c.where(F.col("role") == "user").groupBy("conv_id") \
+        .agg(F.min("turn").alias("turn"))
+    q = c.join(first, ["conv_id", "turn"]).select("conv_id", "turn", F.col("text").alias("prompt_text"))
+    a = c.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"),
+                                                     F.col("text").alias("response_text"))
+    tenant = (F.col("conv_id") % 5)
+    return q.join(a, ["conv_id", "turn"], "left").select(
+        F.col("conv_id").cast("string").alias("cache_id"), tenant.alias("tenant_id"),
+        prompt_key(tenant, F.col("prompt_text"), PRIMARY_MODEL).alias("query_hash"),
+        "prompt_text", "response_text", F.lit(PRIMARY_MODEL).alias("model_used"),
+        F.lit(True).alias("has_embedding"), F.lit(0).cast("bigint").alias("hit_count"))
+
+
+def prompt_batch(t: Tables) -> DataFrame:
+    """Incoming prompts: every user turn, in (conversation, turn) order."""
+    return prompts(t).select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("prompt_id"),
+        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("seq"), "tenant_id", "prompt", "conv_id", "turn")
