@@ -119,6 +119,56 @@ left join (select conv_id, turn - 1 as turn, text from conversations where role
 select conv_id || '-' || turn as prompt_id, conv_id * 1000000 + turn as seq, conv_id % 5 as tenant_id,
        text as prompt, conv_id, turn
 from conversations where role = 'user'""",
+    "contract_replies": """
+select concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) as doc_id,
+       l_suppkey % 5 as tenant_id, cast(l_linenumber % 4 + 1 as int) as attempt,
+       case when l_linenumber = 6
+            then '{"contract_number":"CON-' || l_suppkey || '","supplier_name":"S' || l_suppkey || '","items":[]}'
+            else '{"contract_number":"CON-' || l_suppkey || '","supplier_name":"S' || l_suppkey || '","items":['
+                 || '{"item_sku":"P' || l_partkey || '","agreed_unit_price":' || (l_partkey % 50) || '}'
+                 || case when l_linenumber % 3 = 0
+                         then ',{"item_sku":"P' || (l_partkey + 1) || '","item_description":"spare","agreed_unit_price":'
+                              || (l_suppkey % 40 + 1) || '}' else '' end
+                 || ']' || case when l_linenumber = 5 then ',"payment_terms":"Net 30"' else '' end || '}'
+       end as raw_json
+from lineitem""",
+    "contract_golden": """
+select concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) as doc_id,
+       'CON-' || l_suppkey as contract_number,
+       [{'item_sku': 'P' || l_partkey,
+         'agreed_unit_price': cast(l_partkey % 50 as double)
+             + case when l_discount > 0.05 then 0.005 when l_tax > 0.07 then 0.02 else 0.0 end}] as items
+from lineitem""",
+    "invoice_golden": """
+select concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) as doc_id,
+       cast(l_orderkey as varchar) as invoice_number, cast(l_quantity as int) as quantity_billed,
+       cast(cast(l_partkey % 100 as int) as double) as invoice_unit_price,
+       cast(cast(l_quantity as int) * cast(l_partkey % 100 as int) as double) as total_amount
+from lineitem""",
+    "judge_replies": """
+select doc_id, doc_id % 5 as tenant_id,
+       '```json' || chr(10) || '{"professional_tone": ' || (quality * 3 + 2) || ', "factually_grounded": '
+       || (5 - toxic * 5) || ', "clearly_states_approval_needed": '
+       || case when doc_id % 2 = 0 then 'true' else 'false' end
+       || ', "reasoning": "derived from labels"}' || chr(10) || '```' as raw_reply
+from labels""",
+    "invoice_texts": """
+select concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) as doc_id,
+       case l_linenumber % 3
+         when 0 then 'Invoice ID: INV-' || l_orderkey || '-' || l_linenumber || '   Date: ' || strftime(l_shipdate, '%Y-%m-%d')
+                     || chr(10) || 'Item SKU: P' || l_partkey || '   Qty: ' || cast(l_quantity as int)
+                     || '   Unit Price: ' || (l_partkey % 1000 + 1) || '.00 INR' || chr(10)
+                     || 'Total Balance Due: ' || cast(cast(cast(l_quantity as int) * (l_partkey % 1000 + 1) as decimal(18,2)) as varchar) || ' INR'
+         when 1 then '*** SUPPLIER ' || l_suppkey || ' ***' || chr(10) || 'Inv# INV-' || l_orderkey || '-' || l_linenumber
+                     || '    dated  ' || strftime(l_shipdate, '%d/%m/%Y') || chr(10) || 'SKU P' || l_partkey
+                     || ' ..... qty=' || cast(l_quantity as int) || ' ..... @ ' || (l_partkey % 1000 + 1) || '.00 INR each'
+                     || chr(10) || 'TOTAL: Rs. ' || format('{:,.2f}', cast(cast(l_quantity as int) * (l_partkey % 1000 + 1) as double))
+         else 'Reference No: INV-' || l_orderkey || '-' || l_linenumber || chr(10) || 'Date: ' || strftime(l_shipdate, '%d-%m-%Y')
+              || chr(10) || 'P' || l_partkey || ' x ' || cast(l_quantity as int) || ' units, unit rate '
+              || (l_partkey % 1000 + 1) || '.00 INR' || chr(10) || 'Grand Total = '
+              || cast(cast(cast(l_quantity as int) * (l_partkey % 1000 + 1) as decimal(18,2)) as varchar) || ' INR'
+       end as invoice_text
+from lineitem""",
 }
 
 # Fixtures that read other fixtures (dependency order matters in the WITH list).

@@ -248,3 +248,81 @@ def prompt_batch(t: Tables) -> DataFrame:
     return prompts(t).select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("prompt_id"),
         (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("seq"), "tenant_id", "prompt", "conv_id", "turn")
+
+
+def _line_doc_id() -> Column:
+    return _invoice_id()
+
+
+def contract_replies(t: Tables) -> DataFrame:
+    """Model replies for contract extraction, one per line item (1 or 2 items, some empty)."""
+    sk, pk, ln = (F.col(c).cast("string") for c in ("l_suppkey", "l_partkey", "l_linenumber"))
+    p1 = (F.col("l_partkey") % 50).cast("string")
+    p2 = (F.col("l_suppkey") % 40 + 1).cast("string")
+    head = F.concat(F.lit('{"contract_number":"CON-'), sk, F.lit('","supplier_name":"S'), sk, F.lit('","items":['))
+    item1 = F.concat(F.lit('{"item_sku":"P'), pk, F.lit('","agreed_unit_price":'), p1, F.lit("}"))
+    item2 = F.when(F.col("l_linenumber") % 3 == 0, F.concat(
+        F.lit(',{"item_sku":"P'), (F.col("l_partkey") + 1).cast("string"),
+        F.lit('","item_description":"spare","agreed_unit_price":'), p2, F.lit("}"))).otherwise(F.lit(""))
+    terms = F.when(F.col("l_linenumber") == 5, F.lit(',"payment_terms":"Net 30"')).otherwise(F.lit(""))
+    raw = F.when(F.col("l_linenumber") == 6, F.concat(head, F.lit("]}"))) \
+        .otherwise(F.concat(head, item1, item2, F.lit("]"), terms, F.lit("}")))
+    del ln
+    return t.lineitem.select(_line_doc_id().alias("doc_id"), (F.col("l_suppkey") % 5).alias("tenant_id"),
+                             (F.col("l_linenumber") % 4 + 1).cast("int").alias("attempt"), raw.alias("raw_json"))
+
+
+def contract_golden(t: Tables) -> DataFrame:
+    """Expected contract per reply; some expected prices sit outside the 0.01 tolerance."""
+    exp_price = (F.col("l_partkey") % 50).cast("double") + F.when(F.col("l_discount") > 0.05, 0.005) \
+        .when(F.col("l_tax") > 0.07, 0.02).otherwise(0.0)
+    return t.lineitem.select(
+        _line_doc_id().alias("doc_id"),
+        F.concat(F.lit("CON-"), F.col("l_suppkey").cast("string")).alias("contract_number"),
+        F.array(F.struct(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("item_sku"),
+                         exp_price.alias("agreed_unit_price"))).alias("items"))
+
+
+def invoice_golden(t: Tables) -> DataFrame:
+    qty = F.col("l_quantity").cast("int")
+    price = (F.col("l_partkey") % 100).cast("int")
+    return t.lineitem.select(_line_doc_id().alias("doc_id"),
+                             F.col("l_orderkey").cast("string").alias("invoice_number"),
+                             qty.alias("quantity_billed"), price.cast("double").alias("invoice_unit_price"),
+                             (qty * price).cast("double").alias("total_amount"))
+
+
+def judge_replies(t: Tables) -> DataFrame:
+    """Judge replies in code fences, scores derived from the quality labels."""
+    body = F.concat(
+        F.lit('```json\n{"professional_tone": '), (F.col("quality") * 3 + 2).cast("string"),
+        F.lit(', "factually_grounded": '), (5 - F.col("toxic") * 5).cast("string"),
+        F.lit(', "clearly_states_approval_needed": '),
+        F.when(F.col("doc_id") % 2 == 0, "true").otherwise("false"),
+        F.lit(', "reasoning": "derived from labels"}\n```'))
+    return t.labels.select("doc_id", (F.col("doc_id") % 5).alias("tenant_id"), body.alias("raw_reply"))
+
+
+def invoice_texts(t: Tables) -> DataFrame:
+    """Invoice documents in three layouts: clean (ISO date), messy (day/month/year with a
+    thousands separator), and dash-separated day-month-year."""
+    inv = F.concat(F.lit("INV-"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
+    qty = F.col("l_quantity").cast("int")
+    price = (F.col("l_partkey") % 1000 + 1).cast("int")
+    price_s = F.concat(price.cast("string"), F.lit(".00"))
+    total = (qty * price).cast("decimal(18,2)")
+    sku = F.concat(F.lit("P"), F.col("l_partkey").cast("string"))
+    d = F.col("l_shipdate")
+    clean = F.concat(F.lit("Invoice ID: "), inv, F.lit("   Date: "), F.date_format(d, "yyyy-MM-dd"),
+                     F.lit("\nItem SKU: "), sku, F.lit("   Qty: "), qty.cast("string"), F.lit("   Unit Price: "),
+                     price_s, F.lit(" INR\nTotal Balance Due: "), total.cast("string"), F.lit(" INR"))
+    messy = F.concat(F.lit("*** SUPPLIER "), F.col("l_suppkey").cast("string"), F.lit(" ***\nInv# "), inv,
+                     F.lit("    dated  "), F.date_format(d, "dd/MM/yyyy"), F.lit("\nSKU "), sku,
+                     F.lit(" ..... qty="), qty.cast("string"), F.lit(" ..... @ "), price_s,
+                     F.lit(" INR each\nTOTAL: Rs. "), F.format_number(total, 2))
+    dashed = F.concat(F.lit("Reference No: "), inv, F.lit("\nDate: "), F.date_format(d, "dd-MM-yyyy"),
+                      F.lit("\n"), sku, F.lit(" x "), qty.cast("string"), F.lit(" units, unit rate "), price_s,
+                      F.lit(" INR\nGrand Total = "), total.cast("string"), F.lit(" INR"))
+    m = F.col("l_linenumber") % 3
+    return t.lineitem.select(_line_doc_id().alias("doc_id"),
+                             F.when(m == 0, clean).when(m == 1, messy).otherwise(dashed).alias("invoice_text"))
