@@ -21,12 +21,12 @@ DEFAULT_CONF = {
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "procura") -> SparkSession:
+                  app_name: str = "procura", extra: dict | None = None) -> SparkSession:
     """Local/test session. On a cluster use the session the launcher provides."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in DEFAULT_CONF.items():
+    for key, value in {**DEFAULT_CONF, **(extra or {})}.items():
         builder = builder.config(key, value)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))

@@ -19,12 +19,24 @@ SPREAD_TABLES = {"lineitem", "orders", "customer", "part", "events", "documents"
                  "embeddings", "conversations"}
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+_SPLITS: dict[tuple[str, str], int] = {}
+
+
+def spread(df: DataFrame, min_partitions: int | None = None, key: str | None = None) -> DataFrame:
     """Round-robin ``df`` over ``min_partitions`` (default: the cluster's parallelism)
     only when its scan yields fewer partitions; otherwise leave it untouched, so on a
-    cluster reading many file splits this adds no shuffle."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    cluster reading many file splits this adds no shuffle. ``key`` memoises the
+    split count of a path for the application."""
+    sc = df.sparkSession.sparkContext
+    target = min_partitions or sc.defaultParallelism
+    memo = (sc.applicationId, key) if key else None
+    if memo and memo in _SPLITS:
+        splits = _SPLITS[memo]
+    else:
+        splits = df.rdd.getNumPartitions()
+        if memo:
+            _SPLITS[memo] = splits
+    if splits < target:
         return df.repartition(target)
     return df
 
@@ -32,8 +44,9 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in SPREAD_TABLES else df
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
+    return spread(df, key=path) if name in SPREAD_TABLES else df
 
 
 class Tables:
