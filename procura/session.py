@@ -65,10 +65,15 @@ def default_sf_dir() -> str:
     return os.environ.get("PROCURA_SF_DIR", "/root/testdata/sf0.01")
 
 
-def materialize(df):
-    """Write ``df`` to the shared checkpoint folder and read it back (cuts lineage).
-
-    Used where one derived table feeds several branches of a plan; a reliable
-    checkpoint survives executor loss (unlike a local one)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df, name: str = "table"):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
+
+    This cuts the lineage like a reliable checkpoint (it survives executor
+    loss), but runs one job instead of compute-then-recompute, and readers get
+    columnar scans with column pruning and filter pushdown. Used where one
+    derived table feeds several branches of a plan."""
+    import uuid
+    spark = df.sparkSession
+    path = shared_path(spark, f"tables/{name}-{uuid.uuid4().hex}")
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
