@@ -84,3 +84,10 @@ from llm_attempts group by call_id""", ("llm_attempts",))
 def q_call_outcome(t: Tables):
     """G-7: primary/fallback outcome per call."""
     return rn.call_outcome(fx.llm_attempts(t))
+
+
+@query("run_list", "select tenant_id, run_id, agent_name, status, created_at from agent_runs", ("agent_runs",))
+def q_run_list(t: Tables):
+    """Q-7: each tenant's runs in time order."""
+    return fx.agent_runs(t).select("tenant_id", "run_id", "agent_name", "status", "created_at") \
+        .orderBy("tenant_id", "created_at", "run_id")

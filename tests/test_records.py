@@ -169,3 +169,20 @@ def test_replace_tenants_is_idempotent(spark, tmp_path):
         sk.replace_tenants(rerun, path, [1, 2])
         got = sorted(tuple(r) for r in spark.read.parquet(path).select("tenant_id", "v").collect())
         assert got == [(1, "a2"), (3, "c")]
+
+
+def test_golden_sections_and_vector_literal(spark, tmp_path):
+    from procura.functions.vectors import vector_literal
+    golden = {"contracts": [{"file": "c1.pdf", "expected": {"contract_number": "CON-001", "items": [
+        {"item_sku": "LOG-DIS-01", "agreed_unit_price": 450.0}]}}],
+        "invoices": [{"file": "i1.pdf", "expected": {"invoice_number": "A-1", "quantity_billed": 10,
+                                                     "invoice_unit_price": 450.0, "total_amount": 4500.0}}],
+        "citation_questions": [{"question": "q?", "expected_contract": "CON-002", "expected_page": 1}]}
+    p = tmp_path / "golden.json"
+    p.write_text(json.dumps(golden, indent=1))
+    g = fl.read_golden(spark, str(p))
+    assert g["contracts"].first().contract_number == "CON-001"
+    assert g["invoices"].first().quantity_billed == 10
+    assert g["citation_questions"].first().expected_page == 1
+    v = spark.createDataFrame([([1.0, 0.5, -2.0],)], "v array<double>")
+    assert v.select(vector_literal(F.col("v")).alias("s")).first().s == "[1.0,0.5,-2.0]"
