@@ -59,14 +59,20 @@ def semantic_matches(pvec: DataFrame, cvec: DataFrame, threshold: float) -> Data
     sims = cand.join(px, "prompt_id").join(cy, ["cache_id", "term"]) \
         .groupBy("prompt_id", "cache_id").agg(F.sum(F.col("xw") * F.col("yw")).alias("similarity")) \
         .where(F.col("similarity") >= threshold)
-    best = Window.partitionBy("prompt_id").orderBy(F.col("similarity").desc(), "cache_id")
-    return sims.withColumn("_r", F.row_number().over(best)).where(F.col("_r") == 1).drop("_r")
+    # Best per prompt: highest similarity, then smallest cache id. A grouped
+    # min_by aggregates partially, so a prompt with very many candidates is
+    # reduced map-side rather than sorted whole in one task.
+    best = sims.groupBy("prompt_id").agg(F.min_by(F.struct("cache_id", "similarity"),
+                                                  F.struct(-F.col("similarity"), F.col("cache_id"))).alias("b"))
+    return best.select("prompt_id", F.col("b.cache_id").alias("cache_id"), F.col("b.similarity").alias("similarity"))
 
 
 def dedupe_cache(cache: DataFrame) -> DataFrame:
-    """One entry per (tenant, key): the unique constraint of the cache table."""
-    w = Window.partitionBy("tenant_id", "query_hash").orderBy("cache_id")
-    return cache.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
+    """One entry per (tenant, key), the smallest cache id: the unique constraint of the
+    cache table. A grouped min (partial aggregation) picks the id, so a key repeated
+    by a third of all rows is reduced map-side; the row is then fetched by its id."""
+    keep = cache.groupBy("tenant_id", "query_hash").agg(F.min("cache_id").alias("cache_id"))
+    return cache.join(keep, ["tenant_id", "query_hash", "cache_id"], "left_semi")
 
 
 def resolve(prompts: DataFrame, cache: DataFrame, threshold: float = SEMANTIC_CACHE_THRESHOLD,
@@ -119,8 +125,9 @@ def upsert(cache: DataFrame, new: DataFrame) -> DataFrame:
     key is inserted. Within ``new`` the latest row (largest seq) per key wins.
 
     Plain files have no MERGE, so this is a full outer join written as a new version."""
-    w = Window.partitionBy("tenant_id", "query_hash").orderBy(F.col("seq").desc())
-    n = new.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r", "seq")
+    cols = [c for c in new.columns if c not in ("tenant_id", "query_hash", "seq")]
+    latest = new.groupBy("tenant_id", "query_hash").agg(F.max_by(F.struct(*cols), "seq").alias("_n"))
+    n = latest.select("tenant_id", "query_hash", "_n.*")
     o = cache.alias("o")
     j = o.join(n.alias("n"), ["tenant_id", "query_hash"], "full_outer")
     both = F.col("o.cache_id").isNotNull() & F.col("n.cache_id").isNotNull()
