@@ -26,12 +26,6 @@ def cosine_with_norms(a: Column, b: Column, norm_a: Column, norm_b: Column) -> C
     return F.try_divide(dot(a, b), norm_a * norm_b)
 
 
-def sparse_dot(entries: Column, lookup: Column) -> Column:
-    """Σ value·lookup[key] over an array of (key, value) structs against a map."""
-    return F.aggregate(entries, F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(
-        F.try_element_at(lookup, e["key"]).cast("double"), F.lit(0.0)))
-
-
 def vector_literal(a: Column) -> Column:
     """R-2b: text form ``[a,b,…]``."""
     return F.concat(F.lit("["), F.array_join(F.transform(a, lambda x: x.cast("string")), ","), F.lit("]"))

@@ -153,6 +153,14 @@ def screen_sql(df: DataFrame, sql_col: str = "sql") -> DataFrame:
         .drop("_stripped", "_lowered", "_forbidden")
 
 
+PREVIEW_ROWS = 20  # rows shown with the full row count
+
+
+def preview(result: DataFrame, n: int = PREVIEW_ROWS) -> tuple[int, DataFrame]:
+    """Q-9: the full row count and the first ``n`` rows of a guarded result."""
+    return result.count(), result.limit(n)
+
+
 class SQLBlocked(Exception):
     """Raised by :func:`guarded_query` when the screen refuses a statement."""
 

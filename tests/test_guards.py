@@ -83,6 +83,10 @@ def test_guarded_query_scopes_tenant(spark):
     df, safe = gd.guarded_query(spark, {"inv_test": inv}, 2, "select sum(amount) as s from inv_test")
     assert safe.endswith("LIMIT 50")
     assert df.collect()[0].s == 7
+    many = spark.range(45).withColumn("tenant_id", F.lit(2))
+    res, _ = gd.guarded_query(spark, {"many_test": many}, 2, "select id from many_test")
+    count, first = gd.preview(res)
+    assert (count, first.count()) == (45, 20)
     try:
         gd.guarded_query(spark, {"inv_test": inv}, 2, "drop table inv_test")
         raise AssertionError("should be blocked")
