@@ -60,7 +60,7 @@ def audit_rows(decisions: DataFrame, entity_type: str = ENTITY_TYPE) -> DataFram
     cols = decisions.columns
     actor = F.col("actor") if "actor" in cols else F.lit(None).cast("string")
     drafted_at = F.col("drafted_at") if "drafted_at" in cols else \
-        F.timestamp_seconds(F.col("entity_id").cast("bigint")).cast("timestamp_ntz")
+        F.expr("timestampadd(SECOND, cast(entity_id as bigint), timestamp_ntz'1970-01-01 00:00:00')")
     et = F.lit(entity_type)
     drafted = audit_row(F.col("tenant_id"), et, F.col("entity_id"), F.lit(DRAFTED),
                         F.col("original_text"), F.lit(None).cast("string"), F.lit(DRAFT_ACTOR),
@@ -71,7 +71,7 @@ def audit_rows(decisions: DataFrame, entity_type: str = ENTITY_TYPE) -> DataFram
                         F.when(act == "APPROVED", F.lit(None).cast("string"))
                          .otherwise(F.col("edited_text")),
                         F.coalesce(actor, F.lit(DEFAULT_ACTOR)),
-                        drafted_at + F.expr("interval 1 second"))
+                        F.timestamp_add("SECOND", F.lit(1), drafted_at))
     rows = decisions.select(F.inline(F.when(
         F.col("action").isNull(), F.array(drafted)).otherwise(F.array(drafted, decided))))
     return rows

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cache as ca
 from ..operators.runs import PRIMARY_MODEL
+from ..operators.search import STOP_WORDS
 from ..sources import fixtures as fx
 from ..sources.tables import Tables
 from .registry import query
@@ -13,7 +14,7 @@ from .registry import query
 # The reference threshold rarely fires between unrelated texts; a lower
 # setting exercises the semantic tier on the same data.
 LOW_THRESHOLD = 0.3
-_STOP = ", ".join(f"'{w}'" for w in __import__("procura.operators.search", fromlist=["x"]).STOP_WORDS)
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
 def _resolve_oracle(threshold: float) -> str:

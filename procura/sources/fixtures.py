@@ -287,7 +287,7 @@ def _line_doc_id() -> Column:
 
 def contract_replies(t: Tables) -> DataFrame:
     """Model replies for contract extraction, one per line item (1 or 2 items, some empty)."""
-    sk, pk, ln = (F.col(c).cast("string") for c in ("l_suppkey", "l_partkey", "l_linenumber"))
+    sk, pk = (F.col(c).cast("string") for c in ("l_suppkey", "l_partkey"))
     p1 = (F.col("l_partkey") % 50).cast("string")
     p2 = (F.col("l_suppkey") % 40 + 1).cast("string")
     head = F.concat(F.lit('{"contract_number":"CON-'), sk, F.lit('","supplier_name":"S'), sk, F.lit('","items":['))
@@ -298,7 +298,6 @@ def contract_replies(t: Tables) -> DataFrame:
     terms = F.when(F.col("l_linenumber") == 5, F.lit(',"payment_terms":"Net 30"')).otherwise(F.lit(""))
     raw = F.when(F.col("l_linenumber") == 6, F.concat(head, F.lit("]}"))) \
         .otherwise(F.concat(head, item1, item2, F.lit("]"), terms, F.lit("}")))
-    del ln
     return t.lineitem.select(_line_doc_id().alias("doc_id"), (F.col("l_suppkey") % 5).alias("tenant_id"),
                              (F.col("l_linenumber") % 4 + 1).cast("int").alias("attempt"), raw.alias("raw_json"))
 

@@ -101,4 +101,3 @@ def test_extraction_gate(spark):
     assert rows[1].gate_status == "BLOCKED_INJECTION"
     assert rows[1].error_message.startswith("Matched patterns: ['ignore")
     assert rows[2].gate_status == "ADMITTED" and rows[2].error_message is None
-    assert F is not None
