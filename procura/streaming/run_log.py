@@ -25,12 +25,15 @@ def run_log_stream(spark: SparkSession, source_dir: str, rates: dict | None = No
 
 
 def ingest_run_logs(spark: SparkSession, source_dir: str, table_path: str, name: str = "run_log",
-                    rates: dict | None = None, available_now: bool = True):
+                    rates: dict | None = None, available_now: bool = True,
+                    checkpoint_location: str | None = None):
     """Append new attempt files to the run-log table; returns the started query.
 
-    ``available_now`` processes everything present and stops (batch-style
-    scheduling with streaming bookkeeping); otherwise it runs continuously."""
-    checkpoint = shared_path(spark, f"streams/{name}")
+    The progress checkpoint defaults to ``streams/<name>`` in the shared
+    checkpoint folder (stable, so a restart resumes). ``available_now``
+    processes everything present and stops (batch-style scheduling with
+    streaming bookkeeping); otherwise it runs continuously."""
+    checkpoint = checkpoint_location or shared_path(spark, f"streams/{name}")
     writer = run_log_stream(spark, source_dir, rates).writeStream.format("parquet") \
         .option("checkpointLocation", checkpoint).partitionBy("tenant_id").outputMode("append")
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")

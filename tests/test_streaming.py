@@ -17,11 +17,11 @@ def test_stream_appends_each_file_once(spark, tmp_path):
     row = {"tenant_id": 1, "run_id": "r1", "agent_name": "sup", "model": PRIMARY_MODEL, "input_tokens": 1000,
            "output_tokens": 2000, "latency_ms": 5, "status": "SUCCESS", "created_at": "2026-01-01T00:00:00"}
     _write(src / "a.json", [row, {**row, "run_id": "r2", "tenant_id": 2, "model": "other"}])
-    name = f"test-{tmp_path.name}"
-    ingest_run_logs(spark, str(src), out, name=name).awaitTermination()
+    ckpt = str(tmp_path / "progress")
+    ingest_run_logs(spark, str(src), out, checkpoint_location=ckpt).awaitTermination()
     _write(src / "b.json", [{**row, "run_id": "r3"}])
-    ingest_run_logs(spark, str(src), out, name=name).awaitTermination()
-    ingest_run_logs(spark, str(src), out, name=name).awaitTermination()
+    ingest_run_logs(spark, str(src), out, checkpoint_location=ckpt).awaitTermination()
+    ingest_run_logs(spark, str(src), out, checkpoint_location=ckpt).awaitTermination()
     got = {r.run_id: (r.tenant_id, str(r.estimated_cost_usd), r.agent_name) for r in spark.read.parquet(out).collect()}
     assert got == {"r1": (1, "0.002170", f"sup:{PRIMARY_MODEL}"), "r2": (2, "0.000000", "sup:other"),
                    "r3": (1, "0.002170", f"sup:{PRIMARY_MODEL}")}
