@@ -10,7 +10,9 @@ from ..sources.tables import Tables
 from .registry import query
 
 # Statements from the reference's screen tests, plus the cases
-# its screen code implies (refused `create` substring, WITH, limits).
+# its screen code implies (refused `create` substring, WITH, limits). The
+# templates take the log row's id (twice), so limits and filters vary with
+# the data: some limits fall under the cap, others above it.
 SCREEN_STATEMENTS = [
     "SELECT * FROM suppliers; DROP TABLE suppliers;",
     "DELETE FROM invoices WHERE 1=1",
@@ -19,12 +21,13 @@ SCREEN_STATEMENTS = [
     "SELECT * FROM pg_catalog.pg_tables",
     "select created_at from t",
     "with x as (select 1) select * from x",
-    "select name from suppliers",
-    "select name from suppliers limit 200",
-    "select name from suppliers limit 500",
-    "select * from (select * from t limit 5) a limit 900",
+    "select name from suppliers where supplier_id = %d",
+    "select name from suppliers limit %d",
+    "select * from (select * from t limit %d) a LIMIT %d",
+    "  select invoice_id from invoices where supplier_id = %d limit 0%d ;; ",
 ]
 
+
 # RE2 versions of the PII patterns for the oracle. RE2 has ASCII-only \w, \d and
 # \b and no look-around, so Unicode classes are spelled out and a trailing
 # word boundary is emulated by consuming the next character and putting it back.
@@ -102,7 +105,8 @@ def q_extraction_gate(t: Tables):
 
 
 def _screen_sql_oracle() -> str:
-    cases = "\n".join(f"    when {i} then '{s}'" for i, s in enumerate(SCREEN_STATEMENTS))
+    cases = "\n".join(f"    when {i} then printf('{s}', item_id * 13, item_id * 50)"
+                      for i, s in enumerate(SCREEN_STATEMENTS))
     forb = "\n".join(f"    when contains(lower(st), '{w}') then '{w}'" for w in gd.FORBIDDEN_SQL_WORDS)
     return f"""
 , q as (select item_id as query_id, case item_id % {len(SCREEN_STATEMENTS)}

@@ -248,12 +248,16 @@ def llm_attempts(t: Tables) -> DataFrame:
 
 
 def query_log(t: Tables) -> DataFrame:
-    """Generated SQL to screen: ``item_id % 11`` picks one of the test statements."""
+    """Generated SQL to screen: ``item_id % 11`` picks a statement template, filled with
+    values derived from the row's id."""
     from ..plans.q_guards import SCREEN_STATEMENTS
-    stmts = F.array(*[F.lit(s) for s in SCREEN_STATEMENTS])
-    return t.benchmark.select(
-        F.col("item_id").alias("query_id"),
-        F.element_at(stmts, (F.col("item_id") % len(SCREEN_STATEMENTS) + 1).cast("int")).alias("sql"))
+    pick = F.col("item_id") % len(SCREEN_STATEMENTS)
+    a, b = F.col("item_id") * 13, F.col("item_id") * 50
+    sql = None
+    for i, tmpl in reversed(list(enumerate(SCREEN_STATEMENTS))):
+        filled = F.format_string(tmpl, a, b)
+        sql = filled if sql is None else F.when(pick == i, filled).otherwise(sql)
+    return t.benchmark.select(F.col("item_id").alias("query_id"), sql.alias("sql"))
 
 
 def cache_snapshot(t: Tables) -> DataFrame:
