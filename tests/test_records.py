@@ -186,3 +186,10 @@ def test_golden_sections_and_vector_literal(spark, tmp_path):
     assert g["citation_questions"].first().expected_page == 1
     v = spark.createDataFrame([([1.0, 0.5, -2.0],)], "v array<double>")
     assert v.select(vector_literal(F.col("v")).alias("s")).first().s == "[1.0,0.5,-2.0]"
+
+
+def test_spread_only_when_under_parallelism(spark):
+    from procura.sources.tables import spread
+    df = spark.range(1000).repartition(6)
+    assert spread(df, min_partitions=4) is df
+    assert spread(df, min_partitions=12).rdd.getNumPartitions() == 12
