@@ -95,15 +95,24 @@ def contract_items(t: Tables) -> DataFrame:
 
 
 def build_contract_items(t: Tables) -> DataFrame:
-    """Distinct (tenant, supplier, sku) price rows; gaps and inactive items make misses."""
-    return _lines(t).where((F.col("l_partkey") + F.col("l_suppkey")) % 20 != 0).select(
+    """Distinct (tenant, supplier, sku) price rows; gaps and inactive items make misses.
+
+    (supplier, part) determines tenant, price and the active flag, so the
+    distinct is taken on the line items' key pairs first (a partial
+    aggregation at the source) and only the distinct pairs are joined."""
+    pairs = t.lineitem.select("l_suppkey", "l_partkey") \
+        .where((F.col("l_partkey") + F.col("l_suppkey")) % 20 != 0).distinct()
+    part = t.part.select("p_partkey", "p_retailprice", "p_size")
+    j = pairs.join(_supplier_region(t), F.col("l_suppkey") == F.col("s_suppkey")) \
+        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return j.select(
         F.col("n_regionkey").alias("tenant_id"),
         F.col("l_suppkey").alias("contract_id"),
         F.col("l_suppkey").alias("supplier_id"),
         F.col("l_partkey").alias("item_sku"),
         F.col("p_retailprice").cast("decimal(18,5)").alias("agreed_unit_price"),
         (F.col("p_size") % 25 != 0).alias("is_active"),
-    ).distinct()
+    )
 
 
 def suppliers(t: Tables) -> DataFrame:
