@@ -77,3 +77,16 @@ def materialize(df, name: str = "table"):
     path = shared_path(spark, f"tables/{name}-{uuid.uuid4().hex}")
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_materialized(spark) -> None:
+    """Delete the tables written by :func:`materialize` for this session's folder.
+
+    Call once the jobs that read them are done; the stored fixtures and
+    stream checkpoints are kept."""
+    path = shared_path(spark, "tables")
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(hpath):
+        fs.delete(hpath, True)

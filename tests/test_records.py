@@ -193,3 +193,13 @@ def test_spread_only_when_under_parallelism(spark):
     df = spark.range(1000).repartition(6)
     assert spread(df, min_partitions=4) is df
     assert spread(df, min_partitions=12).rdd.getNumPartitions() == 12
+
+
+def test_materialize_round_trip_and_cleanup(spark):
+    import os
+    from procura.session import drop_materialized, materialize, shared_path
+    df = materialize(spark.range(10).withColumnRenamed("id", "x"), "unit")
+    assert sorted(r.x for r in df.collect()) == list(range(10))
+    drop_materialized(spark)
+    root = shared_path(spark, "tables").replace("file:", "")
+    assert not os.path.exists(root)
