@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.plan import once
 from ..functions.text import py_pattern, py_strip
 from .scope import scoped_views
 
@@ -47,6 +48,8 @@ DEFAULT_LIMIT = 50
 MSG_MULTI = "Multiple statements are not allowed."
 MSG_NOT_SELECT = "Only SELECT statements are allowed."
 MSG_FORBIDDEN = "Forbidden keyword detected: '%s'"
+AGENT_BLOCKED = "sql_agent:blocked"
+AGENT_EXECUTE = "sql_agent:execute"
 # ---------------------------------------------------------------------------
 
 
@@ -144,10 +147,11 @@ def screen_sql(df: DataFrame, sql_col: str = "sql") -> DataFrame:
                   F.regexp_replace(F.col("_stripped"), py_pattern(r"\blimit\s+\d+\b", True),
                                    f"LIMIT {MAX_LIMIT}"))
             .otherwise(F.col("_stripped")))
-    return df.withColumn("_stripped", stripped) \
-        .withColumn("_lowered", lowered) \
-        .withColumn("_forbidden", forbidden) \
-        .withColumn("reason", reason) \
+    # Stripped text and reason are produced once per row (see functions.plan.once), so a
+    # later filter on ``allowed`` does not re-inline the whole screen into its predicate.
+    staged = once(df, _stripped=stripped).withColumn("_lowered", lowered) \
+        .withColumn("_forbidden", forbidden)
+    return once(staged, reason=reason) \
         .withColumn("allowed", F.col("reason").isNull()) \
         .withColumn("safe_sql", safe) \
         .drop("_stripped", "_lowered", "_forbidden")
@@ -176,3 +180,37 @@ def guarded_query(spark: SparkSession, tables: dict[str, DataFrame], tenant_id,
         raise SQLBlocked(screened["reason"])
     scoped_views(spark, tables, tenant_id)
     return spark.sql(screened["safe_sql"]), screened["safe_sql"]
+
+
+def blocked_run_rows(screened: DataFrame, id_col: str = "query_id", sql_col: str = "sql") -> DataFrame:
+    """G-4 / S-7: a run-log row for every refused statement of a screened log
+    (status ERROR, ``"<reason> | generated_sql=<statement>"``, cost 0)."""
+    return screened.where(~F.col("allowed")).select(
+        "tenant_id", F.col(id_col).alias("run_id"), F.lit(AGENT_BLOCKED).alias("agent_name"),
+        F.lit("ERROR").alias("status"),
+        F.concat(F.col("reason"), F.lit(" | generated_sql="), F.col(sql_col)).alias("error_message"),
+        F.lit(0).cast("decimal(18,6)").alias("estimated_cost_usd"))
+
+
+def run_guarded(spark: SparkSession, tables: dict[str, DataFrame], tenant_id, sql: str, run_id: str,
+                preview_rows: int = PREVIEW_ROWS) -> dict:
+    """G-4 end to end for one statement: screen, run over the tenant's views, count,
+    and describe the run-log row (blocked, failed or succeeded). The preview is a
+    DataFrame of at most ``preview_rows`` rows; nothing else reaches the driver."""
+    import time
+    start = time.time()
+    screened = screen_sql(spark.createDataFrame([(sql,)], "sql string")).first()
+    if not screened["allowed"]:
+        reason = screened["reason"]
+        return {"generated_sql": sql, "error": reason, "row_count": None, "rows": None,
+                "run": (tenant_id, run_id, AGENT_BLOCKED, "ERROR", None, f"{reason} | generated_sql={sql}")}
+    safe = screened["safe_sql"]
+    try:
+        scoped_views(spark, tables, tenant_id)
+        count, rows = preview(spark.sql(safe), preview_rows)
+    except Exception as e:  # analysis or execution failure is reported, as the reference does
+        return {"generated_sql": safe, "error": str(e), "row_count": None, "rows": None,
+                "run": (tenant_id, run_id, AGENT_EXECUTE, "ERROR", None, f"{e} | sql={safe}")}
+    latency = int((time.time() - start) * 1000)
+    return {"generated_sql": safe, "error": None, "row_count": count, "rows": rows,
+            "run": (tenant_id, run_id, AGENT_EXECUTE, "SUCCESS", latency, None)}

@@ -104,7 +104,7 @@ def q_extraction_gate(t: Tables):
     return gd.extraction_gate(fx.contract_pages(t), "page_text", "contract")
 
 
-def _screen_sql_oracle() -> str:
+def _screen_ctes() -> str:
     cases = "\n".join(f"    when {i} then printf('{s}', item_id * 13, item_id * 50)"
                       for i, s in enumerate(SCREEN_STATEMENTS))
     forb = "\n".join(f"    when contains(lower(st), '{w}') then '{w}'" for w in gd.FORBIDDEN_SQL_WORDS)
@@ -121,6 +121,11 @@ def _screen_sql_oracle() -> str:
              when not regexp_matches(st, '^\\s*select\\b', 'i') then '{gd.MSG_NOT_SELECT}'
              when fw is not null then 'Forbidden keyword detected: ''' || fw || '''' end as reason
          from r)
+"""
+
+
+def _screen_sql_oracle() -> str:
+    return _screen_ctes() + f"""
 select query_id, sql, reason, reason is null as allowed,
        case when reason is not null then null
             when not has_limit then st || ' LIMIT {gd.DEFAULT_LIMIT}'
@@ -148,3 +153,13 @@ def q_guarded_query(t: Tables):
     """G-4: a screened statement run over one tenant's views."""
     df, _ = gd.guarded_query(t.spark, {"invoices": fx.invoices(t)}, GUARDED_TENANT, GUARDED_SQL)
     return df
+
+
+@query("sql_blocked_runs", _screen_ctes() + """
+select query_id % 5 as tenant_id, query_id as run_id, 'sql_agent:blocked' as agent_name, 'ERROR' as status,
+       reason || ' | generated_sql=' || sql as error_message, cast(0 as decimal(18,6)) as estimated_cost_usd
+from r2 where reason is not null""", ())
+def q_sql_blocked_runs(t: Tables):
+    """G-4 / S-7: run-log rows of the refused statements in the query log."""
+    log = fx.query_log(t).withColumn("tenant_id", F.col("query_id") % 5)
+    return gd.blocked_run_rows(gd.screen_sql(log, "sql"))

@@ -101,3 +101,14 @@ def test_extraction_gate(spark):
     assert rows[1].gate_status == "BLOCKED_INJECTION"
     assert rows[1].error_message.startswith("Matched patterns: ['ignore")
     assert rows[2].gate_status == "ADMITTED" and rows[2].error_message is None
+
+
+def test_run_guarded_outcomes(spark):
+    inv = spark.createDataFrame([(1, 5), (2, 7), (2, 8)], "tenant_id int, amount int")
+    ok = gd.run_guarded(spark, {"inv_run": inv}, 2, "select amount from inv_run", "r1")
+    assert ok["row_count"] == 2 and ok["run"][2:4] == (gd.AGENT_EXECUTE, "SUCCESS")
+    blocked = gd.run_guarded(spark, {"inv_run": inv}, 2, "delete from inv_run", "r2")
+    assert blocked["run"][2:4] == (gd.AGENT_BLOCKED, "ERROR")
+    assert blocked["run"][5] == gd.MSG_NOT_SELECT + " | generated_sql=delete from inv_run"
+    failed = gd.run_guarded(spark, {"inv_run": inv}, 2, "select nope from inv_run", "r3")
+    assert failed["run"][2:4] == (gd.AGENT_EXECUTE, "ERROR") and failed["error"]
