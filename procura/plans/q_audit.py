@@ -27,8 +27,8 @@ _AUDIT = """
 , audit as (
   select sha256(concat_ws('|', tenant_id, 'negotiation_email', entity_id, action)) as audit_id,
          tenant_id, 'negotiation_email' as entity_type, entity_id, action,
-         to_json({'text': original_text}) as original_payload,
-         to_json({'text': coalesce(edited, original_text)}) as edited_payload,
+         cast(to_json({'text': original_text}) as varchar) as original_payload,
+         cast(to_json({'text': coalesce(edited, original_text)}) as varchar) as edited_payload,
          coalesce(edited, original_text) <> original_text as changed,
          actor, sha256(coalesce(edited, original_text)) as content_hash, created_at
   from raw)
@@ -87,7 +87,7 @@ _SPLIT = r"regexp_split_to_array(regexp_replace({c}, '(\r\n|[\n\r\x0b\x0c\x1c\x1
   union all
   select tenant_id, entity_id, unnest(case when edited_text = '' then []::varchar[]
                                            else {_SPLIT.format(c='edited_text')} end), 0, 1 from base)
-, c as (select tenant_id, entity_id, line, sum(o) as n_orig, sum(e) as n_edit
+, c as (select tenant_id, entity_id, line, cast(sum(o) as bigint) as n_orig, cast(sum(e) as bigint) as n_edit
         from lines group by tenant_id, entity_id, line)
 select tenant_id, entity_id, line, n_orig - least(n_orig, n_edit) as n_removed,
        n_edit - least(n_orig, n_edit) as n_added, least(n_orig, n_edit) as n_kept

@@ -64,7 +64,7 @@ def q_pii_redact(t: Tables):
 
 
 @query("pii_findings", _pii_ctes("contract_pages", "doc_id", "page_text") + """
-select doc_id, pii_type, match_count from (
+select doc_id, pii_type, cast(match_count as int) as match_count from (
   select doc_id, 'EMAIL' as pii_type, n_email as match_count from p5
   union all select doc_id, 'PHONE_IN', n_phone_in from p5
   union all select doc_id, 'CREDIT_CARD', n_credit_card from p5
