@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,22 +82,31 @@ def _window_keys(hashes: Column, bands: int) -> Column:
     return F.array(*parts)
 
 
-def guard_words(templates: list[tuple[str, list[str]]], containment: float) -> list[str]:
-    """Words one of which any text that holds enough of a template must hold.
+def guard_words(templates: list[list[str]], containment: float) -> list[str]:
+    """Strings one of which any lower-cased text that holds enough of a template
+    must contain.
 
-    Words are taken, longest first, until the shingles with one of them
-    outnumber those a text may lack; a text without all of these words lacks
-    too many. So testing for them first loses nothing, and spares most texts
-    the hashing."""
-    chosen: set[str] = set()
-    for _, tokens in templates:
+    Words are taken until the shingles with one of them outnumber those a text
+    may lack; a text without all of these words lacks too many. So testing for
+    them first loses nothing, and spares most texts the hashing. Words that
+    serve many templates are tried first."""
+    words = {w for tokens in templates for w in tokens}
+    serves = {w: sum(any(w in x for x in tokens) for tokens in templates) for w in words if len(w) >= 6}
+    ranked = sorted(serves, key=lambda w: (-serves[w], -len(w), w)) + sorted(words - set(serves), key=lambda w: (-len(w), w))
+    chosen: list[str] = []
+    for tokens in templates:
         runs = {tuple(tokens[i:i + SHINGLE_WORDS]) for i in range(len(tokens) - SHINGLE_WORDS + 1)}
         lacking = len(runs) - math.ceil(len(runs) * containment - 1e-9)
-        for word in sorted(set(tokens), key=lambda w: (-len(w), w)):
-            if sum(bool(chosen & set(r)) for r in runs) > lacking:
+
+        def held(runs=runs) -> int:
+            return sum(any(g in w for g in chosen for w in run) for run in runs)
+
+        for word in ranked:
+            if held() > lacking:
                 break
-            chosen.add(word)
-    return sorted(chosen)
+            if any(word in w for run in runs for w in run):
+                chosen.append(word)
+    return sorted(set(chosen))
 
 
 def _tagged(band: int):
@@ -142,9 +152,10 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id",
     for row in entries:
         by_band.setdefault(row["band"], set()).add(row["key"])
 
-    guards = guard_words([(r["template"], r["t"]) for r in wanted.select("template", "t").collect()], containment)
-    body = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")) \
-        .filter(F.lower("body").rlike("|".join(guards) or "(?!)"))
+    guards = guard_words([r["t"] for r in wanted.select("t").collect()], containment)
+    guarded = reduce(lambda a, b: a | b, [F.col("low").contains(g) for g in guards], F.lit(False))
+    body = once(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")), low=F.lower("body")) \
+        .filter(guarded).select("id", "body")
     # Named arrays are built once a row; inside a lambda an unnamed one is built for every element.
     body = once(body, t=terms(F.col("body"))).drop("body")
     body = once(body, h=_hashes(F.col("t")))

@@ -28,7 +28,7 @@ def _op1() -> str:
     return rf"""
 with words as (select doc_id, source, lang, coalesce(text, '') body,
     string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') tokens,
-    regexp_replace(coalesce(text, ''), '[^*$%&#!|A-ZÀ-ÖØ-Þ]+', '', 'g') marks from documents),
+    regexp_replace(coalesce(text, ''), '[^*$%&#!|A-Z]+', '', 'g') marks from documents),
 counts as (select *, len(tokens) n,
     length(regexp_replace(marks, '[^*$%&#!]', '', 'g')) n_symbols,
     length(regexp_replace(marks, '[*$%&#!|]', '', 'g')) n_capitals,

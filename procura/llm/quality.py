@@ -41,7 +41,7 @@ def binned_features(docs: DataFrame, text_col: str, carry: list[str]) -> DataFra
     body = F.coalesce(F.col(text_col), F.lit(""))
     taken = once(docs.select(*carry, body.alias("x_text")),
                  x_words=F.split("x_text", r"[\x20\x09-\x0D]+"),
-                 x_marks=F.regexp_replace("x_text", r"[^*$%&#!|A-ZÀ-ÖØ-Þ]+", ""),
+                 x_marks=F.regexp_replace("x_text", r"[^*$%&#!|A-Z]+", ""),
                  x_chars=F.length("x_text")).drop("x_text")
     tokens, marks = F.col("x_words"), F.col("x_marks")
     n = F.size(tokens)
