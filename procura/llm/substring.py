@@ -1,15 +1,16 @@
 """Substring dedup over the de Bruijn graph of a corpus.
 
 Every run of ``k`` words is an edge from its first ``k - 1`` words to its last.
-Edges that several documents have are the repeated ones; consecutive repeated
-edges of one text with the same first document and multiplicity form a
-nonbranching path (at a branching node the multiplicity changes), and a path is
-a repeated span, named by its source coordinates.
+Edges that several documents have are the repeated ones.
 
-Only edges that can be repeated are built. Two texts that share a run of k
-words share its minimizer, the lowest hash of the shorter word runs in it, so a first
-pass shuffles the minimizers alone, about a sixth as many as there are edges,
-and keeps the stretches whose minimizer two documents have."""
+Texts are cut into stretches: maximal runs of edges with one minimizer, the
+lowest hash of the shorter word runs inside an edge. Equal edges have equal
+minimizers, so a first pass shuffles stretches instead of edges, a fifth as
+many. A minimizer that one document has is dropped. If all stretches of a
+minimizer are equal, they are one nonbranching path of the graph, and the
+stretch is settled whole. Where they differ the graph branches, and only there
+edges are built and compared one by one. What is repeated is then compacted
+along its text into paths, named by their source coordinates."""
 
 from __future__ import annotations
 
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,6 +31,7 @@ K = 13          # words in a window
 M = 5           # words in a run that may be a minimizer
 NO_ID = 2**63 - 1
 _CHUNK = 1 << 20
+LONGEST = 1_023  # windows in a stretch; a span packs (part: 16 bits, first: 38, windows: 10)
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -63,10 +66,11 @@ def run_hashes(w: np.ndarray, length: int, base: np.uint64) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def stretches(w: np.ndarray, k: int = K, m: int = M) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(minimizer, first window, windows): maximal runs of windows with one minimizer."""
+def stretches(w: np.ndarray, k: int = K, m: int = M) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(minimizer, hash of all its words, first window, windows): maximal runs of windows
+    with one minimizer, cut at ``LONGEST`` windows."""
     if len(w) < k:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     h = run_hashes(w, min(m, k), _B1)
     width = k - min(m, k) + 1
     low, done = h, 1
@@ -75,24 +79,45 @@ def stretches(w: np.ndarray, k: int = K, m: int = M) -> tuple[np.ndarray, np.nda
         low = np.minimum(low[:len(low) - step], low[step:])
         done += step
     first = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-    return low[first], first, np.diff(np.concatenate((first, [len(low)])))
+    count = np.diff(np.concatenate((first, [len(low)])))
+    low = low[first]
+    reps = -(-count // LONGEST)
+    if reps.max() > 1:
+        nth = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+        count = np.minimum(np.repeat(count, reps) - nth * LONGEST, LONGEST)
+        low, first = np.repeat(low, reps), np.repeat(first, reps) + nth * LONGEST
+    # Prefix sums of a polynomial give the hash of any span of words.
+    powers = np.cumprod(np.full(len(w), _B2, np.uint64))
+    inverse = np.cumprod(np.full(len(w), np.uint64(pow(int(_B2), -1, 2**64)), np.uint64))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(w * powers)))
+    whole = (sums[first + count + k - 1] - sums[first]) * inverse[first]
+    return low, whole ^ (whole >> np.uint64(29)) ^ (count.astype(np.uint64) << np.uint64(53)), first, count
+
+
+def _zipped(docs: DataFrame) -> DataFrame:
+    """(doc, part, packed): texts travel through shuffles compressed."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            packed = [zip_.compress(t.as_py()) for t in batch.column("utf8")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("part"), pa.array(packed, pa.binary())],
+                                             ["doc", "part", "packed"])
+
+    return docs.mapInArrow(run, "doc long, part int, packed binary")
 
 
-def _candidates(docs: DataFrame, k: int, m: int) -> DataFrame:
-    """(doc, spans): for each id, stretches (first window << 20 | windows) that share a minimizer with another id."""
+def _stretch_spans(docs: DataFrame, k: int, m: int) -> DataFrame:
+    """(doc, mixed, settled): for each id the spans of stretches whose minimizer another id has as well:
+    ``mixed`` those to be compared edge by edge, ``settled`` (span, source) those that go whole."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, size = [], 0
-            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("utf8"), strict=True):
-                low, first, count = stretches(word_hashes(text.as_py()), k, m)
+            for doc, part, text in zip(batch.column("doc").to_pylist(), batch.column("part").to_pylist(),
+                                       batch.column("utf8"), strict=True):
+                low, whole, first, count = stretches(word_hashes(text.as_py()), k, m)
                 if len(low):
-                    # A stretch of more than 2^20 - 1 windows (one word over and over) is cut.
-                    reps = -(-count // 0xFFFFF)
-                    if reps.max() > 1:
-                        nth = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-                        count = np.minimum(np.repeat(count, reps) - nth * 0xFFFFF, 0xFFFFF)
-                        low, first = np.repeat(low, reps), np.repeat(first, reps) + nth * 0xFFFFF
-                    held.append((low.view(np.int64), np.full(len(low), doc, np.int64), (first << 20) | count))
+                    span = (np.int64(part) << np.int64(48)) | (first << 10) | count
+                    held.append((low.view(np.int64), whole.view(np.int64), np.full(len(low), doc, np.int64), span))
                     size += len(low)
                 if size >= 200_000:
                     yield table(held)
@@ -101,37 +126,46 @@ def _candidates(docs: DataFrame, k: int, m: int) -> DataFrame:
                 yield table(held)
 
     def table(held: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["low", "doc", "span"])
-
-    found = docs.mapInArrow(emit, "low long, doc long, span long")
-    shared = found.groupBy("low").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b") \
-        .select(F.bitwise_not("low").alias("key"))
-    kept = found.select(F.bitwise_not("low").alias("key"), "doc", "span").join(shared, "key", "left_semi")
-    return materialize(kept.groupBy("doc").agg(F.collect_set("span").alias("spans")), "substring_candidates")
-
-
-def _edges(docs: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
-    """(doc, part, at, edge, check): edges of the candidate stretches, as arrays, one row a text."""
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)],
+                                          ["low", "whole", "doc", "span"])
+
+    found = docs.mapInArrow(emit, "low long, whole long, doc long, span long")
+    shared = found.groupBy("low").agg(F.min("doc").alias("source"), F.max("doc").alias("last"),
+                                      F.min("whole").alias("w1"), F.max("whole").alias("w2")) \
+        .filter("source < last") \
+        .select(F.bitwise_not("low").alias("key"), "source", (F.col("w1") != F.col("w2")).alias("branches"))
+    kept = found.select(F.bitwise_not("low").alias("key"), "doc", "span").join(shared, "key") \
+        .filter("branches or doc > source")
+    return materialize(kept.groupBy("doc").agg(
+        F.collect_set(F.when(F.col("branches"), F.col("span"))).alias("mixed"),
+        F.collect_set(F.when(~F.col("branches"), F.struct("span", "source"))).alias("settled")), "substring_spans")
+
+
+def _edges(zipped: DataFrame, spans: DataFrame, k: int) -> DataFrame:
+    """(doc, part, at, edge, check): edges of the mixed stretches, as arrays, one row a text."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        unzip = zstandard.ZstdDecompressor()
         for batch in batches:
-            rows = []
-            for doc, part, text, spans in zip(*(batch.column(c) for c in ("doc", "part", "utf8", "spans")), strict=True):
-                w = word_hashes(text.as_py())
-                if len(w) < k:
+            rows, size = [], 0
+            for doc, part, packed, mixed in zip(*(batch.column(c) for c in ("doc", "part", "packed", "mixed")), strict=True):
+                span = mixed.values.to_numpy(zero_copy_only=False)
+                span = span[(span >> 48) & 0xFFFF == part.as_py()]
+                if not len(span):
                     continue
+                w = word_hashes(unzip.decompress(packed.as_py()))
                 marks = np.zeros(len(w) - k + 2, np.int32)
-                packed = spans.values.to_numpy(zero_copy_only=False)
-                first = np.minimum(packed >> 20, len(marks) - 1)
+                first = (span >> 10) & ((1 << 38) - 1)
                 np.add.at(marks, first, 1)
-                np.add.at(marks, np.minimum(first + (packed & 0xFFFFF), len(marks) - 1), -1)
+                np.add.at(marks, first + (span & 0x3FF), -1)
                 at = np.flatnonzero(np.cumsum(marks)[:-1] > 0)
                 edge = run_hashes(w, k, _B1)[at].view(np.int64)
                 check = (run_hashes(w, k, _B2)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 rows.append((doc.as_py(), part.as_py(), at.astype(np.int32), edge, check))
-                if sum(len(r[2]) for r in rows) >= 500_000:
+                size += len(at)
+                if size >= 500_000:
                     yield pack(rows, kind)
-                    rows = []
+                    rows, size = [], 0
             if rows:
                 yield pack(rows, kind)
 
@@ -139,34 +173,34 @@ def _edges(docs: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kind, strict=True)],
                                           ["doc", "part", "at", "edge", "check"])
 
-    joined = docs.join(candidates, "doc").select("doc", "part", "utf8", "spans")
+    wanted = spans.filter(F.size("mixed") > 0).select(F.bitwise_not("doc").alias("d"), "mixed")
+    joined = zipped.withColumn("d", F.bitwise_not("doc")).join(wanted, "d").select("doc", "part", "packed", "mixed")
     return materialize(joined.mapInArrow(emit, "doc long, part int, at array<int>, edge array<long>, check array<int>"),
                        "substring_edges")
 
 
-def repeated_paths(edges: DataFrame) -> DataFrame:
-    """(doc, part, paths): a text's repeated paths (first edge, edges, source document, multiplicity),
-    of the edges that a smaller id has as well.
+def repeated_edges(edges: DataFrame) -> DataFrame:
+    """(doc, part, at, n, source): occurrences of edges that a smaller id has as well (n is 1).
 
-    An edge is known by 96 bits of two independent hashes. Occurrences meet
-    their edge's first document and multiplicity in a join whose hot keys AQE
-    splits, and are compacted by coordinates."""
+    An edge is known by 96 bits of two independent hashes. Occurrences meet their edge's first
+    document in a join whose hot keys AQE splits."""
     flat = edges.select("doc", "part", F.explode(F.arrays_zip("at", "edge", "check")).alias("e")) \
         .select("doc", "part", "e.at", "e.edge", "e.check")
-    graph = flat.groupBy("edge", "check").agg(F.min("doc").alias("source"), F.max("doc").alias("last"),
-                                              F.count(F.lit(1)).alias("n")) \
-        .filter("source < last").select(F.bitwise_not("edge").alias("key"), F.bitwise_not("check").alias("tag"), "source", "n")
-    met = flat.select("doc", "part", "at", F.bitwise_not("edge").alias("key"), F.bitwise_not("check").alias("tag")) \
-        .join(graph, ["key", "tag"]).filter("doc > source").select("doc", "part", "at", "source", "n")
-    text = W.partitionBy("doc", "part").orderBy("at")
-    follows = (F.col("at") == F.lag("at").over(text) + 1) & (F.col("source") == F.lag("source").over(text)) \
-        & (F.col("n") == F.lag("n").over(text))
-    numbered = met.withColumn("opens", F.when(follows, 0).otherwise(1)) \
+    graph = flat.groupBy("edge", "check").agg(F.min("doc").alias("source"), F.max("doc").alias("last")) \
+        .filter("source < last").select(F.bitwise_not("edge").alias("key"), F.bitwise_not("check").alias("tag"), "source")
+    return flat.select("doc", "part", "at", F.bitwise_not("edge").alias("key"), F.bitwise_not("check").alias("tag")) \
+        .join(graph, ["key", "tag"]).filter("doc > source").select("doc", "part", F.col("at").cast("long"), F.lit(1).cast("long").alias("n"), "source")
+
+
+def compacted(repeated: DataFrame) -> DataFrame:
+    """(doc, paths): what follows on in a text with the same source becomes one path (part, at, edges, source)."""
+    text = W.partitionBy("doc", "part").orderBy("at", "n")
+    follows = (F.col("at") == F.lag(F.col("at") + F.col("n")).over(text)) & (F.col("source") == F.lag("source").over(text))
+    numbered = repeated.withColumn("opens", F.when(follows, 0).otherwise(1)) \
         .withColumn("path", F.sum("opens").over(text.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return numbered.groupBy("doc", "part", "path") \
-        .agg(F.min("at").alias("at"), F.count(F.lit(1)).cast("int").alias("edges"), F.min("source").alias("source"),
-             F.min("n").alias("n")) \
-        .groupBy("doc", "part").agg(F.collect_list(F.struct("at", "edges", "source", "n")).alias("paths"))
+    paths = numbered.groupBy("doc", "part", "path") \
+        .agg(F.min("at").alias("at"), F.sum("n").alias("edges"), F.min("source").alias("source"))
+    return paths.groupBy("doc").agg(F.collect_list(F.struct("part", "at", "edges", "source")).alias("paths"))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, m: int = M) -> DataFrame:
@@ -178,28 +212,33 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Cases: NULL and short texts keep all words. A NULL id counts as larger
     than any id and is returned as NULL; texts with equal ids (or NULL ids) do
-    not remove each other's words. An empty table gives no rows. Whole texts
+    not remove each other's words (they are told apart by 16 bits of a hash of
+    the text). An empty table gives no rows. Whole texts
     are read, long ones in pieces; one text is the largest thing a task holds.
     Other columns are not read, whatever their names."""
     body = F.coalesce(F.col(text_col), F.lit(""))
     # ``part`` tells texts with the same id apart.
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"),
-                       F.shiftright(F.xxhash64(body), 32).cast("int").alias("part"), body.cast("binary").alias("utf8"))
-    candidates = _candidates(rows.select("doc", "utf8"), k, m)
-    paths = materialize(repeated_paths(_edges(rows, candidates, k)), "substring_paths") \
-        .select(F.bitwise_not("doc").alias("d"), F.bitwise_not("part").alias("p"), "paths")
-    joined = rows.withColumn("d", F.bitwise_not("doc")).withColumn("p", F.bitwise_not("part")) \
-        .join(paths, ["d", "p"], "left").select("doc", "utf8", "paths")
+                       F.shiftrightunsigned(F.xxhash64(body), 48).cast("int").alias("part"), body.cast("binary").alias("utf8"))
+    spans, zipped = _stretch_spans(rows, k, m), _zipped(rows)
+    settled = spans.select("doc", F.explode("settled").alias("s")).select("doc", "s.span", "s.source") \
+        .select("doc", F.shiftrightunsigned("span", 48).cast("int").alias("part"),
+                F.shiftrightunsigned("span", 10).bitwiseAND(F.lit((1 << 38) - 1)).alias("at"),
+                F.col("span").bitwiseAND(F.lit(0x3FF)).alias("n"), "source")
+    repeated = settled.unionByName(repeated_edges(_edges(zipped, spans, k)))
+    paths = materialize(compacted(repeated), "substring_paths").select(F.bitwise_not("doc").alias("d"), "paths")
+    joined = zipped.withColumn("d", F.bitwise_not("doc")).join(paths, "d", "left").select("doc", "part", "packed", "paths")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("source", pa.int64())])
+        unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             out, size = [], 0
-            for doc, text, found in zip(*(batch.column(c) for c in ("doc", "utf8", "paths")), strict=True):
-                doc, found = doc.as_py(), found.as_py() or []
-                tokens = text.as_py().split()
+            for doc, part, packed, found in zip(*(batch.column(c) for c in ("doc", "part", "packed", "paths")), strict=True):
+                doc, part, found = doc.as_py(), part.as_py(), found.as_py() or []
+                tokens = unzip.decompress(packed.as_py()).split()
                 spans: list[dict] = []
-                for path in sorted(found, key=lambda x: x["at"]):
+                for path in sorted((x for x in found if x["part"] == part), key=lambda x: x["at"]):
                     start, stop = path["at"], path["at"] + path["edges"] + k - 1
                     if spans and start <= spans[-1]["stop"]:
                         spans[-1]["stop"] = max(stop, spans[-1]["stop"])
