@@ -72,13 +72,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`exact_dedup` keeps, columns unchanged.
 
-    Dropped rows all went through level 3, so (id, full hash) names them; rows
-    repeated with the same id and text are reduced to one by the same key."""
-    gone = exact_dedup(docs, id_col, text_col) \
+    Every text is read here anyway, to be written again, so its digest is
+    taken as it is read and level 3 compares digests: hashing a text costs
+    less than sending it through a shuffle to be hashed. Texts are shuffled
+    once, by (id, digest), which names the dropped rows; rows repeated with
+    the same id and text meet there and are reduced to one."""
+    key, rank, digest = fresh(docs, "dedup_key"), fresh(docs, "dedup_rank"), fresh(docs, "dedup_digest")
+    hashed = docs.withColumn(digest, F.sha2(lower_ascii(F.col(text_col)), 256))
+    gone = exact_dedup(hashed, id_col, text_col, digest) \
         .filter(~F.col("id").eqNullSafe(F.col("keep_id"))) \
         .select(row_key(F.col("id"), F.col("full_hash")).alias("gone_key")).distinct()
-    key, rank = fresh(docs, "dedup_key"), fresh(docs, "dedup_rank")
-    keyed = docs.withColumn(key, row_key(F.col(id_col), F.sha2(lower_ascii(F.col(text_col)), 256)))
+    keyed = hashed.withColumn(key, row_key(F.col(id_col), F.col(digest))).drop(digest)
     kept = keyed.join(gone, keyed[key] == gone["gone_key"], "left_anti")
     return kept.withColumn(rank, F.row_number().over(W.partitionBy(key).orderBy(key))) \
         .filter(F.col(rank) == 1).drop(key, rank)
