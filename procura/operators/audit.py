@@ -19,7 +19,7 @@ DRAFT_ACTOR = "agent"
 DECISION_ACTIONS = {"approve": "APPROVED", "edit": "EDITED"}
 REJECTED = "REJECTED"
 DRAFTED = "DRAFTED"
-APPROVAL_NOTE = "This draft requires human review and approval before sending."
+APPROVAL_NOTE = "Not to be sent before a person has read and released it."
 
 
 def content_hash(text: Column) -> Column:

@@ -6,6 +6,8 @@ whole-stage code generation over any number of rows; no Python runs per row.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -165,6 +167,37 @@ def preview(result: DataFrame, n: int = PREVIEW_ROWS) -> tuple[int, DataFrame]:
     return result.count(), result.limit(n)
 
 
+OUTSIDE = "Query reads something other than the tenant's tables."
+# Functions that run arbitrary JVM code or read outside the statement's tables.
+_UNSAFE_CALLS = re.compile(r"'`?(reflect|try_reflect|java_method|input_file_name|read_files)`?\(")
+
+
+def outside_scope(spark: SparkSession, sql: str, names) -> bool:
+    """True if a statement's parsed plan names a relation other than the given
+    views and its own CTEs (a file path, a stale view, a catalog table), calls
+    a table function, or calls into the JVM. The plan is Spark's own parse, so
+    comments, quoting and nesting do not hide a reference."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).toString()
+    allowed = {n.lower() for n in names}
+    for ctes in re.findall(r"CTE \[([^\]]*)\]", plan):
+        allowed |= {c.strip().lower() for c in ctes.split(",")}
+    relations = re.findall(r"'UnresolvedRelation \[([^\]]*)\]", plan)
+    return any(r.strip().lower() not in allowed for r in relations) or "UnresolvedTableValuedFunction" in plan \
+        or bool(_UNSAFE_CALLS.search(plan.lower()))
+
+
+def _run_scoped(spark: SparkSession, tables: dict[str, DataFrame], tenant_id, sql: str) -> DataFrame:
+    """Analyse ``sql`` over the tenant's views, which exist for that moment only."""
+    if outside_scope(spark, sql, tables):
+        raise SQLBlocked(OUTSIDE)
+    views = scoped_views(spark, tables, tenant_id)
+    try:
+        return spark.sql(sql)
+    finally:
+        for view in views:
+            spark.catalog.dropTempView(view)
+
+
 class SQLBlocked(Exception):
     """Raised by :func:`guarded_query` when the screen refuses a statement."""
 
@@ -178,8 +211,7 @@ def guarded_query(spark: SparkSession, tables: dict[str, DataFrame], tenant_id,
     screened = screen_sql(spark.createDataFrame([(sql,)], "sql string")).first()
     if not screened["allowed"]:
         raise SQLBlocked(screened["reason"])
-    scoped_views(spark, tables, tenant_id)
-    return spark.sql(screened["safe_sql"]), screened["safe_sql"]
+    return _run_scoped(spark, tables, tenant_id, screened["safe_sql"]), screened["safe_sql"]
 
 
 def blocked_run_rows(screened: DataFrame, id_col: str = "query_id", sql_col: str = "sql") -> DataFrame:
@@ -206,8 +238,10 @@ def run_guarded(spark: SparkSession, tables: dict[str, DataFrame], tenant_id, sq
                 "run": (tenant_id, run_id, AGENT_BLOCKED, "ERROR", None, f"{reason} | generated_sql={sql}")}
     safe = screened["safe_sql"]
     try:
-        scoped_views(spark, tables, tenant_id)
-        count, rows = preview(spark.sql(safe), preview_rows)
+        count, rows = preview(_run_scoped(spark, tables, tenant_id, safe), preview_rows)
+    except SQLBlocked as e:
+        return {"generated_sql": safe, "error": str(e), "row_count": None, "rows": None,
+                "run": (tenant_id, run_id, AGENT_BLOCKED, "ERROR", None, f"{e} | generated_sql={sql}")}
     except Exception as e:  # analysis or execution failure is reported, as the reference does
         return {"generated_sql": safe, "error": str(e), "row_count": None, "rows": None,
                 "run": (tenant_id, run_id, AGENT_EXECUTE, "ERROR", None, f"{e} | sql={safe}")}

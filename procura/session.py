@@ -50,6 +50,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return configured
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: a cluster must name a folder that all executors share")
     local = tempfile.mkdtemp(prefix="procura-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     return local
@@ -74,17 +76,24 @@ def materialize(df, name: str = "table"):
     derived table feeds several branches of a plan."""
     import uuid
     spark = df.sparkSession
-    path = shared_path(spark, f"tables/{name}-{uuid.uuid4().hex}")
+    path = shared_path(spark, f"tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}")
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_materialized(spark) -> None:
-    """Delete the tables written by :func:`materialize` for this session's folder.
+#: Called by :func:`drop_materialized`, to forget frames that read the dropped tables.
+ON_DROP: list = []
+
 
-    Call once the jobs that read them are done; the stored fixtures and
-    stream checkpoints are kept."""
-    path = shared_path(spark, "tables")
+def drop_materialized(spark) -> None:
+    """Delete the tables that :func:`materialize` wrote for this application.
+
+    Other applications that share the folder keep theirs, as do the stored
+    fixtures and stream checkpoints. Call once the jobs that read the tables
+    are done; what is memoised on them is forgotten and built anew."""
+    path = shared_path(spark, f"tables/{spark.sparkContext.applicationId}")
+    for forget in ON_DROP:
+        forget()
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

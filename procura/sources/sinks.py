@@ -8,6 +8,7 @@ partitions. A job never overwrites the path it reads: derived tables
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def append_runs(runs: DataFrame, path: str) -> None:
@@ -23,23 +24,30 @@ def _fs_delete(spark: SparkSession, path: str) -> None:
         fs.delete(p, True)
 
 
+def _files(spark: SparkSession, path: str) -> set[str]:
+    """Names of a folder's files; part files carry their write job's id, so a rewrite shows."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {f.getPath().getName() for f in fs.listStatus(p)} if fs.exists(p) else set()
+
+
 def replace_tenants(df: DataFrame, path: str, tenants: list) -> None:
     """S-8 / S-9: replace exactly the given tenants' partitions with ``df``'s rows.
 
-    Dynamic partition overwrite rewrites only partitions present in ``df``;
-    a tenant in scope with no new rows would keep its old rows, so its
-    partition is removed explicitly first. Re-running gives the same table."""
-    spark = df.sparkSession
-    present = {r[0] for r in df.select("tenant_id").distinct().collect()} if tenants else set()
+    Rows of other tenants in ``df`` are not written, so other partitions stay
+    as they are. The rows are written first, once, by dynamic partition
+    overwrite; partitions of given tenants that got no rows are removed only
+    after that has succeeded, so a failed write leaves the old rows. Which
+    tenants got rows shows in their partitions' file names. Re-running gives the same table."""
+    if not tenants:
+        return
+    spark, base = df.sparkSession, path.rstrip("/")
+    before = {t: _files(spark, f"{base}/tenant_id={t}") for t in tenants}
+    df.where(F.col("tenant_id").isin(list(tenants))).write.mode("overwrite") \
+        .option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id").parquet(base)
     for t in tenants:
-        if t not in present:
-            _fs_delete(spark, f"{path.rstrip('/')}/tenant_id={t}")
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode("overwrite").partitionBy("tenant_id").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+        if before[t] and _files(spark, f"{base}/tenant_id={t}") == before[t]:
+            _fs_delete(spark, f"{base}/tenant_id={t}")
 
 
 def write_version(df: DataFrame, base: str, version: int) -> str:

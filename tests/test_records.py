@@ -201,5 +201,5 @@ def test_materialize_round_trip_and_cleanup(spark):
     df = materialize(spark.range(10).withColumnRenamed("id", "x"), "unit")
     assert sorted(r.x for r in df.collect()) == list(range(10))
     drop_materialized(spark)
-    root = shared_path(spark, "tables").replace("file:", "")
+    root = shared_path(spark, f"tables/{spark.sparkContext.applicationId}").replace("file:", "")
     assert not os.path.exists(root)
