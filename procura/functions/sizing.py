@@ -1,8 +1,8 @@
 """Size-checked broadcast.
 
-A side is broadcast only when a cheap bounded count proves it small; beyond
-the bound the caller gets ``False`` and takes its shuffle path (salted when
-the join key has few values)."""
+A side is broadcast only when its rows and bytes, counted map-side, prove it
+small; beyond the bounds the caller gets ``False`` and takes its shuffle path
+(salted when the join key has few values)."""
 
 from __future__ import annotations
 
@@ -10,11 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_MAX_BROADCAST_ROWS = 100_000
+MAX_BROADCAST_BYTES = 64 << 20
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (counts at most max_rows + 1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                   max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows of together at most ``max_bytes``
+    (written as JSON). One partial aggregate over ``df``; no row leaves its task."""
+    size = df.agg(F.count(F.lit(1)).alias("n"),
+                  F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long")).alias("bytes")).first()
+    return size["n"] <= max_rows and (size["bytes"] or 0) <= max_bytes
 
 
 def salt_column(key: str, buckets: int):
@@ -31,7 +36,7 @@ def pair_with_small(big: DataFrame, small: DataFrame, on: list[str], big_key: st
                     max_rows: int = 10_000) -> DataFrame:
     """Join every row of ``big`` with the rows of a small, bounded side sharing ``on``.
 
-    Broadcast when the count check passes; otherwise the small side is copied
+    Broadcast when the size check passes; otherwise the small side is copied
     to every salt bucket and ``big`` rows are hashed to one bucket by
     ``big_key``, so few-valued keys (a tenant) still spread over many tasks."""
     if fits_broadcast(small, max_rows):

@@ -81,6 +81,23 @@ def materialize(df, name: str = "table"):
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Catalog names of the bucketed tables written for each application.
+_BUCKETED: dict[str, list[str]] = {}
+
+
+def materialize_bucketed(df, key: str, name: str):
+    """Like :func:`materialize`, as a table bucketed by ``key``: a later grouping by ``key``
+    (and more columns) needs no shuffle, also behind a broadcast join. One file a bucket."""
+    import uuid
+    spark = df.sparkSession
+    app, buckets = spark.sparkContext.applicationId, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"procura_{name}_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key) \
+        .option("path", shared_path(spark, f"tables/{app}/{table}")).saveAsTable(table)
+    _BUCKETED.setdefault(app, []).append(table)
+    return spark.table(table)
+
+
 #: Called by :func:`drop_materialized`, to forget frames that read the dropped tables.
 ON_DROP: list = []
 
@@ -94,6 +111,8 @@ def drop_materialized(spark) -> None:
     path = shared_path(spark, f"tables/{spark.sparkContext.applicationId}")
     for forget in ON_DROP:
         forget()
+    for table in _BUCKETED.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"drop table if exists {table}")
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
