@@ -1,10 +1,11 @@
 """Prompt cache: exact and semantic resolution, hit counts and upsert
 (R-7, J-7, J-8, A-10, S-11, S-12).
 
-A batch of prompts is resolved against one cache snapshot: first an
+A batch of prompts is resolved against one cache snapshot. Each distinct
+(tenant, key) is resolved once, however often it is asked: first by an
 equi-join on (tenant, key); the rest are matched semantically; the rest
-miss. Repeats of one key among the misses are marked as repeats of the
-first (they would hit once the first is answered).
+miss. The answers are joined back to the prompts; repeats of a missed key are
+marked as repeats of the first (they would hit once the first is answered).
 
 The semantic tier finds, for each prompt, the most similar cache entry of
 its tenant with cosine >= threshold. It never scores all pairs: with every
@@ -83,32 +84,32 @@ def resolve(prompts: DataFrame, cache: DataFrame, threshold: float = SEMANTIC_CA
     ``prompts``: prompt_id, seq (batch order), tenant_id, prompt.
     ``cache``: cache_id, tenant_id, query_hash, prompt_text, response_text, has_embedding.
 
-    The keyed batch, the deduplicated snapshot and both vector tables feed
-    several branches, so with ``checkpoint`` they are written once to the
+    The keyed batch, its distinct keys, the deduplicated snapshot and both vector
+    tables feed several branches, so with ``checkpoint`` they are written once to the
     shared checkpoint folder instead of being re-derived per branch."""
     keep = materialize if checkpoint else (lambda d: d)
     p = keep(prompts.withColumn("query_hash", prompt_key(F.col("tenant_id"), F.col("prompt"), model)))
     c = keep(dedupe_cache(cache))
-    exact = p.join(c.select("tenant_id", "query_hash", "cache_id"), ["tenant_id", "query_hash"], "inner") \
-        .select("prompt_id", "cache_id", F.lit("cache_exact").alias("source"),
-                F.lit(None).cast("double").alias("similarity"))
-    rest = p.join(exact.select("prompt_id"), "prompt_id", "left_anti")
+    key = ["tenant_id", "query_hash"]
+    first = p.groupBy(*key).agg(F.min_by(F.struct("prompt_id", "prompt"), "seq").alias("_f"))
+    asked = keep(first.select(*key, F.col("_f.prompt_id").alias("first_prompt_id"), F.col("_f.prompt").alias("prompt"))
+                 .join(c.select(*key, F.col("cache_id").alias("exact_id")), key, "left"))
+    rest = asked.where(F.col("exact_id").isNull()).select("tenant_id", F.col("first_prompt_id").alias("prompt_id"), "prompt")
     with_emb = c.where(F.col("has_embedding"))
     idf = cache_idf(with_emb)
     sem = semantic_matches(keep(text_vectors(rest, "prompt_id", "prompt", idf)),
                            keep(text_vectors(with_emb, "cache_id", "prompt_text", idf)), threshold) \
-        .select("prompt_id", "cache_id", F.lit("cache_semantic").alias("source"), "similarity")
-    hits = exact.unionByName(sem)
-    misses = rest.join(sem.select("prompt_id"), "prompt_id", "left_anti")
-    first = misses.groupBy("tenant_id", "query_hash").agg(F.min_by("prompt_id", "seq").alias("first_prompt_id"))
-    missed = misses.join(first, ["tenant_id", "query_hash"]).select(
-        "prompt_id", F.lit(None).cast(c.schema["cache_id"].dataType).alias("cache_id"),
-        F.when(F.col("prompt_id") == F.col("first_prompt_id"), "miss").otherwise("batch_repeat").alias("source"),
-        F.lit(None).cast("double").alias("similarity"), "first_prompt_id")
-    resolved = hits.withColumn("first_prompt_id", F.lit(None).cast("string")).unionByName(missed)
+        .select(F.col("prompt_id").alias("first_prompt_id"), F.col("cache_id").alias("semantic_id"), "similarity")
     texts = c.select("cache_id", "response_text")
-    return p.select("prompt_id", "tenant_id", "query_hash").join(resolved, "prompt_id", "inner") \
-        .join(texts, "cache_id", "left")
+    answers = asked.drop("prompt").join(sem, "first_prompt_id", "left") \
+        .withColumn("cache_id", F.coalesce("exact_id", "semantic_id")).join(texts, "cache_id", "left")
+    missed = F.col("cache_id").isNull()
+    repeat = F.col("prompt_id") != F.col("first_prompt_id")
+    return p.select("prompt_id", *key).join(answers, key).select(
+        "prompt_id", *key, "cache_id",
+        F.when(F.col("exact_id").isNotNull(), "cache_exact").when(~missed, "cache_semantic")
+         .when(repeat, "batch_repeat").otherwise("miss").alias("source"),
+        "similarity", F.when(missed, F.col("first_prompt_id")).alias("first_prompt_id"), "response_text")
 
 
 def hit_counts(cache: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -121,8 +122,8 @@ def hit_counts(cache: DataFrame, resolved: DataFrame) -> DataFrame:
 
 def upsert(cache: DataFrame, new: DataFrame) -> DataFrame:
     """S-11: merge new answers on (tenant, key). An existing entry keeps its id, prompt
-    text, embedding and model, takes the new response and resets hit_count to 0; a new
-    key is inserted. Within ``new`` the latest row (largest seq) per key wins.
+    text, embedding and model, takes the new response (also a NULL one) and resets
+    hit_count to 0; a new key is inserted. Within ``new`` the latest row (largest seq) per key wins.
 
     Plain files have no MERGE, so this is a full outer join written as a new version."""
     cols = [c for c in new.columns if c not in ("tenant_id", "query_hash", "seq")]
@@ -134,7 +135,8 @@ def upsert(cache: DataFrame, new: DataFrame) -> DataFrame:
     return j.select(
         F.coalesce("o.cache_id", "n.cache_id").alias("cache_id"), "tenant_id", "query_hash",
         F.coalesce("o.prompt_text", "n.prompt_text").alias("prompt_text"),
-        F.coalesce("n.response_text", "o.response_text").alias("response_text"),
+        F.when(F.col("n.cache_id").isNotNull(), F.col("n.response_text"))
+         .otherwise(F.col("o.response_text")).alias("response_text"),
         F.coalesce("o.model_used", "n.model_used").alias("model_used"),
         F.coalesce("o.has_embedding", "n.has_embedding").alias("has_embedding"),
         F.when(both | F.col("o.cache_id").isNull(), F.lit(0).cast("bigint"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import cache as ca
 from ..operators.runs import PRIMARY_MODEL
 from ..operators.search import STOP_WORDS
+from ..session import materialize
 from ..sources import fixtures as fx
 from ..sources.tables import Tables
 from .registry import query
@@ -101,20 +102,29 @@ def q_cache_hit_counts(t: Tables):
 
 
 def new_answers(t: Tables, res):
-    """Answers to store: first prompt of each missed key, with the reply that followed it."""
+    """Answers to store: the first prompt of each missed key, with the reply that followed
+    it, and new answers (some of them NULL) for exact hits of every third conversation."""
     pb = fx.prompt_batch(t)
     a = t.conversations.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response_text"))
-    miss = res.where(F.col("source") == "miss").select("prompt_id", "query_hash")
-    return pb.join(miss, "prompt_id").join(a, ["conv_id", "turn"], "left").select(
+    asked = res.where(F.col("source").isin("miss", "cache_exact")).select("prompt_id", "query_hash", "source")
+    stored = (F.col("source") == "miss") | (F.col("conv_id") % 3 == 0)
+    answer = F.when(F.col("source") == "miss", F.col("response_text")) \
+        .when(F.col("conv_id") % 9 != 0, F.concat(F.lit("Refreshed: "), F.col("response_text")))
+    return pb.join(asked, "prompt_id").where(stored).join(a, ["conv_id", "turn"], "left").select(
         F.col("prompt_id").alias("cache_id"), "tenant_id", "query_hash", F.col("prompt").alias("prompt_text"),
-        "response_text", F.lit(PRIMARY_MODEL).alias("model_used"), F.lit(True).alias("has_embedding"), "seq")
+        answer.alias("response_text"), F.lit(PRIMARY_MODEL).alias("model_used"), F.lit(True).alias("has_embedding"), "seq")
 
 
 @query("cache_upsert", _resolve_oracle(LOW_THRESHOLD) + """
+, counted as (select c.* replace (cast(c.hit_count + coalesce(h.n, 0) as bigint) as hit_count)
+             from c left join (select cache_id, count(*) as n from out
+                               where source in ('cache_exact', 'cache_semantic') group by 1) h using (cache_id))
 , nw as (select pb.prompt_id as cache_id, pb.tenant_id, o.query_hash, pb.prompt as prompt_text,
-                a.text as response_text, '""" + PRIMARY_MODEL + """' as model_used, true as has_embedding, pb.seq
-         from prompt_batch pb join out o on o.prompt_id = pb.prompt_id and o.source = 'miss'
+                case when o.source = 'miss' then a.text
+                     when pb.conv_id % 9 <> 0 then 'Refreshed: ' || a.text end as response_text, '""" + PRIMARY_MODEL + """' as model_used, true as has_embedding, pb.seq
+         from prompt_batch pb join out o on o.prompt_id = pb.prompt_id
+              and (o.source = 'miss' or o.source = 'cache_exact' and pb.conv_id % 3 = 0)
          left join conversations a on a.conv_id = pb.conv_id and a.turn = pb.turn + 1 and a.role = 'assistant')
 , n as (select * exclude (r) from (
           select *, row_number() over (partition by tenant_id, query_hash order by seq desc) as r from nw)
@@ -127,8 +137,8 @@ select coalesce(o.cache_id, n.cache_id) as cache_id, coalesce(o.tenant_id, n.ten
        coalesce(o.has_embedding, n.has_embedding) as has_embedding,
        case when o.cache_id is null or n.cache_id is not null then cast(0 as bigint) else o.hit_count end
          as hit_count
-from cache_snapshot o full outer join n on n.tenant_id = o.tenant_id and n.query_hash = o.query_hash""", _FX)
+from counted o full outer join n on n.tenant_id = o.tenant_id and n.query_hash = o.query_hash""", _FX)
 def q_cache_upsert(t: Tables):
-    """S-11: the cache after storing this batch's new answers."""
-    res = resolved(t, LOW_THRESHOLD)
-    return ca.upsert(fx.cache_snapshot(t), new_answers(t, res))
+    """S-11: the cache, hits counted, after storing this batch's answers to new and to known keys."""
+    res = materialize(resolved(t, LOW_THRESHOLD), "resolved")
+    return ca.upsert(ca.hit_counts(ca.dedupe_cache(fx.cache_snapshot(t)), res), new_answers(t, res))
