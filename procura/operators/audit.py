@@ -1,7 +1,7 @@
 """Audit and approval tables (D-1 .. D-6, S-13).
 
-Rows are built as set operations over a decisions table; the line diff of
-the reference is re-expressed as a grouped line count (see :func:`line_changes`).
+Rows are built as set operations over a decisions table. An edit's line diff is an array
+expression over the two texts (:func:`line_diff`), bounded by one document.
 """
 
 from __future__ import annotations
@@ -35,10 +35,41 @@ def decision_action(action: Column) -> Column:
     return out
 
 
+def line_diff(original: Column, edited: Column) -> Column:
+    """D-1 / D-3: removed and added lines with their numbers, ``array<struct<sign,line_no,line>>``,
+    empty where the texts are equal.
+
+    Lines shared at the start and at the end are left out; of the rest, the original's lines are removed
+    (numbered in the original) and the edit's added (numbered in the edit). So every changed,
+    inserted, dropped or moved line shows, in order, in time linear in the two texts. NULL is an empty text."""
+    text = [F.coalesce(c, F.lit("")) for c in (original, edited)]
+    o, e = (split_lines(c) for c in text)
+
+    def common(a: Column, b: Column) -> Column:
+        at = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False)).cast("int")
+        return F.when(at > 0, at - 1).otherwise(F.least(F.size(a), F.size(b)))
+
+    def numbered(sign: str, lines: Column, head: Column, tail: Column) -> Column:
+        middle = F.slice(lines, head + 1, F.greatest(F.lit(0), F.size(lines) - head - tail))
+        return F.transform(middle, lambda x, i: F.struct(F.lit(sign).alias("sign"), (head + i + 1).alias("line_no"),
+                                                         x.alias("line")))
+
+    def middle(p: Column) -> Column:
+        head, tail = p["head"], F.least(p["tail"], F.least(F.size(p["o"]), F.size(p["e"])) - p["head"])
+        return F.concat(numbered("-", p["o"], head, tail), numbered("+", p["e"], head, tail))
+
+    parts = F.struct(o.alias("o"), e.alias("e"), common(o, e).alias("head"),
+                     common(F.reverse(o), F.reverse(e)).alias("tail"))
+    # One-element transform: the lines are split once, not for each use.
+    changed = F.element_at(F.transform(F.array(parts), middle), 1)
+    return F.when(text[0] != text[1], changed).otherwise(
+        F.array().cast("array<struct<sign:string,line_no:int,line:string>>"))
+
+
 def audit_row(tenant: Column, entity_type: Column, entity_id: Column, action: Column,
               original: Column, edited: Column, actor: Column, created_at: Column) -> Column:
     """D-1: one audit record. Edited text defaults to the original; the hash is of
-    the edited text; payloads are ``{"text": ...}`` JSON."""
+    the edited text; payloads are ``{"text": ...}`` JSON; ``diff`` is the :func:`line_diff`."""
     edited = F.coalesce(edited, original)
     return F.struct(
         sha256_hex(F.concat_ws("|", tenant.cast("string"), entity_type, entity_id.cast("string"),
@@ -47,7 +78,7 @@ def audit_row(tenant: Column, entity_type: Column, entity_id: Column, action: Co
         action.alias("action"),
         F.to_json(F.struct(original.alias("text"))).alias("original_payload"),
         F.to_json(F.struct(edited.alias("text"))).alias("edited_payload"),
-        (edited != original).alias("changed"),
+        (edited != original).alias("changed"), line_diff(original, edited).alias("diff"),
         actor.alias("actor"), sha256_hex(edited).alias("content_hash"),
         created_at.alias("created_at"))
 
@@ -91,14 +122,12 @@ def approval_lifecycle(audit: DataFrame) -> DataFrame:
 
 
 def line_changes(pairs: DataFrame) -> DataFrame:
-    """D-3 (re-aimed): line-level changes between original and edited text.
+    """D-3: net line counts of an edit; :func:`ordered_changes` has the places.
 
     Lines are exploded and counted per (entity, line) on each side; a line
     appearing k times in the original and m times in the edit gives
     min(k, m) kept and the rest added or removed. Grouped counting keeps a
-    document with many repeated lines from landing in one task, and no
-    ordering of lines is needed. (The reference renders a unified diff text;
-    that rendering is not rebuilt.)"""
+    document with many repeated lines from landing in one task."""
     base = pairs.where(F.col("edited_text").isNotNull() & (F.col("edited_text") != F.col("original_text")))
     orig = base.select("tenant_id", "entity_id", F.explode(split_lines(F.col("original_text"))).alias("line"),
                        F.lit(1).alias("o"), F.lit(0).alias("e"))
@@ -114,6 +143,18 @@ def line_changes(pairs: DataFrame) -> DataFrame:
         .where((F.col("n_removed") > 0) | (F.col("n_added") > 0))
 
 
+def ordered_changes(pairs: DataFrame) -> DataFrame:
+    """D-3: one row per removed (-) or added (+) line of an edited text, with its line number."""
+    base = pairs.where(F.col("edited_text").isNotNull() & (F.col("edited_text") != F.col("original_text")))
+    return base.select("tenant_id", "entity_id", F.inline(line_diff(F.col("original_text"), F.col("edited_text"))))
+
+
+def draft_decisions(drafts: DataFrame) -> DataFrame:
+    """D-6: dispute drafts as pending decisions, for :func:`audit_rows` to log as DRAFTED."""
+    return drafts.select("tenant_id", F.col("supplier_id").alias("entity_id"), F.col("draft_text").alias("original_text"),
+                         F.lit(None).cast("string").alias("edited_text"), F.lit(None).cast("string").alias("action"))
+
+
 def dispute_drafts(flagged: DataFrame, suppliers: DataFrame) -> DataFrame:
     """D-6 (re-aimed): one dispute draft per flagged supplier, from a fixed template,
     PII-redacted, ready to be logged as DRAFTED.

@@ -40,7 +40,7 @@ from supplier join nation on n_nationkey = s_nationkey
 where s_suppkey % 11 <> 0""",
     "tenants": "select r_regionkey as tenant_id, r_name as name from region",
     "expected_labels": """
-select concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) as invoice_id,
+select n_regionkey as tenant_id, concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) as invoice_id,
        case when cast(l_quantity as int) = 13 then 'AMBIGUOUS'
             when cast(l_quantity as int) = 17 then 'APPROVED'
             when cast(l_quantity as int) = 19 then 'LEAKAGE_DETECTED'
@@ -55,7 +55,8 @@ select concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) as
             when l_linenumber <> 7 and count(case when l_linenumber <> 7 then 1 end)
                  over (partition by l_orderkey, l_suppkey) > 1 then 'DUPLICATE_PO'
        end as expected_check_type
-from lineitem join part on p_partkey = l_partkey""",
+from lineitem join part on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey
+     join nation on n_nationkey = s_nationkey""",
     "agent_runs": """
 select event_id as run_id, cast(user_id % 5 as int) as tenant_id, event_type as agent_name,
        case when event_type = 'error' then null else cast(floor(value * 10) as int) end as latency_ms,
@@ -78,7 +79,10 @@ from documents""",
 select conv_id, turn, conv_id % 5 as tenant_id, text as prompt from conversations where role = 'user'""",
     "decisions": """
 select doc_id as entity_id, doc_id % 5 as tenant_id, text as original_text,
-       case when doc_id % 4 = 1 then concat(text, ' Please confirm.') end as edited_text,
+       case when doc_id % 16 = 5 then array_to_string(list_reverse(string_split(text, chr(10))), chr(10))
+            when doc_id % 16 = 9 then array_to_string(string_split(text, chr(10))[2:], chr(10))
+            when doc_id % 16 = 13 then concat('Reviewed.', chr(10), text)
+            when doc_id % 4 = 1 then concat(text, ' Please confirm.') end as edited_text,
        case doc_id % 4 when 0 then 'approve' when 1 then 'edit' when 2 then 'reject' end as action
 from documents""",
     "replies": """
@@ -171,33 +175,13 @@ select concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) as
 from lineitem""",
 }
 
-# Fixtures that read other fixtures (dependency order matters in the WITH list).
-FIXTURE_DEPS: dict[str, list[str]] = {}
-
-
 def with_fixtures(names: list[str], body: str) -> str:
     """``WITH <fixture ctes> <body>``; ``body`` may add its own CTEs after a comma
     when it starts with ``,``."""
-    ordered: list[str] = []
-    for n in names:
-        for d in FIXTURE_DEPS.get(n, []) + [n]:
-            if d not in ordered:
-                ordered.append(d)
-    ctes = ",\n".join(f"{n} as ({FIXTURE_SQL[n]}\n)" for n in ordered)
+    ctes = ",\n".join(f"{n} as ({FIXTURE_SQL[n]}\n)" for n in dict.fromkeys(names))
     body = body.strip()
     if not ctes:
         return f"with {body[1:].lstrip()}" if body.startswith(",") else body
     if body.startswith(","):
         return f"with {ctes}{body}"
     return f"with {ctes}\n{body}"
-
-
-ORACLES: dict[str, str] = {}
-
-
-def oracle(name: str, fixtures: list[str]):
-    """Decorator-free registration: ``oracle('q', ['invoices'])(body_sql)``."""
-    def register(body: str) -> str:
-        ORACLES[name] = with_fixtures(fixtures, body)
-        return ORACLES[name]
-    return register

@@ -18,11 +18,12 @@ def document_files(t: Tables):
     cid = F.floor(F.col("doc_id") / 8).cast("bigint")
     name = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("notes_"), F.col("doc_id").cast("string"), F.lit(".txt"))) \
         .otherwise(F.concat(F.lit("CON-"), cid.cast("string"), F.lit("_"), F.col("source"), F.lit(".pdf")))
-    return t.documents.select("doc_id", name.alias("file_name"))
+    return t.documents.select("doc_id", (cid % 5).alias("tenant_id"), name.alias("file_name"))
 
 
 _FILES = """
-, files as (select doc_id, case when doc_id % 9 = 0 then 'notes_' || doc_id || '.txt'
+, files as (select doc_id, cast(floor(doc_id / 8) as bigint) % 5 as tenant_id,
+                     case when doc_id % 9 = 0 then 'notes_' || doc_id || '.txt'
                                 else 'CON-' || cast(floor(doc_id / 8) as bigint) || '_' || source || '.pdf' end
                              as file_name from documents)
 , keyed as (select *, nullif(regexp_extract(file_name, '(CON-\\d+)', 1), '') as contract_number from files)
@@ -30,18 +31,19 @@ _FILES = """
 
 
 @query("doc_key_match", _FILES + """
-select k.contract_number, k.doc_id, k.file_name, c.contract_id, c.tenant_id
-from keyed k join contracts c on c.contract_number = k.contract_number""", ("contracts",))
+select k.tenant_id, k.contract_number, k.doc_id, k.file_name, c.contract_id
+from keyed k join contracts c on c.tenant_id = k.tenant_id and c.contract_number = k.contract_number""", ("contracts",))
 def q_doc_key_match(t: Tables):
     """S-5 / J-6: documents matched to contracts by the key in their file name."""
     return fl.doc_key_match(document_files(t), fx.contracts(t))
 
 
 @query("doc_key_skipped", _FILES + """
-select contract_number, doc_id, file_name, 'unknown contract' as reason from keyed
-where contract_number is not null and contract_number not in (select contract_number from contracts)
+select tenant_id, contract_number, doc_id, file_name, 'unknown contract' as reason from keyed k
+where contract_number is not null and not exists (
+  select 1 from contracts c where c.tenant_id = k.tenant_id and c.contract_number = k.contract_number)
 union all
-select contract_number, doc_id, file_name, 'no key in name' from keyed where contract_number is null""",
+select tenant_id, contract_number, doc_id, file_name, 'no key in name' from keyed where contract_number is null""",
        ("contracts",))
 def q_doc_key_skipped(t: Tables):
     """S-5: documents skipped and why."""
@@ -61,13 +63,13 @@ select cast(i.tenant_id as varchar) as tenant_id, t.name as tenant_name, lower(t
        l.invoice_id as invoice_number, l.expected_status, l.expected_check_type as check_type,
        cast(null as double) as expected_agreed_price, cast(null as double) as expected_invoiced_price,
        'derived from raw columns' as reason, cast(null as varchar) as note
-from expected_labels l join invoices i on i.invoice_id = l.invoice_id
+from expected_labels l join invoices i on i.tenant_id = l.tenant_id and i.invoice_id = l.invoice_id
 join tenants t on t.tenant_id = i.tenant_id""", ("expected_labels", "invoices", "tenants"))
 def q_ground_truth_flat(t: Tables):
     """S-14 then S-3: labels written as JSON Lines by tenant and read back with a schema."""
     inv = fx.invoices(t).select("invoice_id", "tenant_id")
     ten = fx.tenants(t)
-    labels = fx.expected_labels(t).join(inv, "invoice_id").join(ten, "tenant_id").select(
+    labels = fx.expected_labels(t).join(inv, ["tenant_id", "invoice_id"]).join(ten, "tenant_id").select(
         F.col("tenant_id").cast("string").alias("tenant_id"), F.col("name").alias("tenant_name"),
         F.lower("name").alias("tenant_label"), F.col("invoice_id").alias("invoice_number"), "expected_status",
         F.col("expected_check_type").alias("check_type"),

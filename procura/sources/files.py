@@ -70,16 +70,18 @@ def doc_keys(docs: DataFrame, name_col: str = "file_name") -> DataFrame:
 
 
 def doc_key_match(docs: DataFrame, contracts: DataFrame, name_col: str = "file_name") -> DataFrame:
-    """S-5 / J-6: documents whose key names a known contract, with the contract id."""
-    c = contracts.select("contract_number", "contract_id", "tenant_id")
-    return doc_keys(docs, name_col).join(c, "contract_number", "inner")
+    """S-5 / J-6: documents whose key names a contract of their own tenant, with the contract id.
+    ``docs`` and ``contracts`` both have ``tenant_id``."""
+    c = contracts.select("tenant_id", "contract_number", "contract_id")
+    return doc_keys(docs, name_col).join(c, ["tenant_id", "contract_number"], "inner")
 
 
 def doc_key_skipped(docs: DataFrame, contracts: DataFrame, name_col: str = "file_name") -> DataFrame:
-    """S-5 / J-6: documents skipped, with the reason (no key in the name, or unknown key)."""
+    """S-5 / J-6: documents skipped, with the reason (no key in the name, or a key
+    that names no contract of the document's tenant)."""
     k = doc_keys(docs, name_col)
     unknown = k.where(F.col("contract_number").isNotNull()) \
-        .join(contracts.select("contract_number"), "contract_number", "left_anti") \
+        .join(contracts.select("tenant_id", "contract_number"), ["tenant_id", "contract_number"], "left_anti") \
         .withColumn("reason", F.lit("unknown contract"))
     nokey = k.where(F.col("contract_number").isNull()).withColumn("reason", F.lit("no key in name"))
     return unknown.unionByName(nokey)

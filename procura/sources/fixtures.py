@@ -148,6 +148,8 @@ def expected_labels(t: Tables) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("po_lines"))
     part = t.part.select("p_partkey", "p_size")
     j = li.join(part, F.col("l_partkey") == F.col("p_partkey")) \
+        .join(_supplier_region(t).select("s_suppkey", F.col("n_regionkey").alias("tenant_id")),
+              F.col("l_suppkey") == F.col("s_suppkey")) \
         .join(po_counts, ["l_orderkey", "l_suppkey"], "left")
     qty = F.col("l_quantity").cast("int")
     missing = ((F.col("l_partkey") + F.col("l_suppkey")) % 20 == 0) | (F.col("p_size") % 25 == 0)
@@ -161,7 +163,7 @@ def expected_labels(t: Tables) -> DataFrame:
     check = (F.when(qty.isin(13, 17), F.lit(None).cast("string"))
              .when(missing, "MISSING_CONTRACT").when(variance, "PRICE_VARIANCE")
              .when(dup, "DUPLICATE_PO"))
-    return j.select(_invoice_id().alias("invoice_id"), status.alias("expected_status"),
+    return j.select("tenant_id", _invoice_id().alias("invoice_id"), status.alias("expected_status"),
                     check.alias("expected_check_type"))
 
 
@@ -201,11 +203,17 @@ def prompts(t: Tables) -> DataFrame:
 
 
 def decisions(t: Tables) -> DataFrame:
-    m = F.col("doc_id") % 4
+    """Draft decisions. Edits append words, reverse the lines, drop the first line or put one before it."""
+    m, kind = F.col("doc_id") % 4, F.col("doc_id") % 16
+    lines = F.split("text", "\n")
+    edited = (F.when(kind == 5, F.array_join(F.reverse(lines), "\n"))
+              .when(kind == 9, F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "\n"))
+              .when(kind == 13, F.concat(F.lit("Reviewed.\n"), F.col("text")))
+              .when(m == 1, F.concat(F.col("text"), F.lit(" Please confirm."))))
     return t.documents.select(
         F.col("doc_id").alias("entity_id"), (F.col("doc_id") % 5).alias("tenant_id"),
         F.col("text").alias("original_text"),
-        F.when(m == 1, F.concat(F.col("text"), F.lit(" Please confirm."))).alias("edited_text"),
+        edited.alias("edited_text"),
         F.when(m == 0, "approve").when(m == 1, "edit").when(m == 2, "reject").alias("action"),
     )
 

@@ -102,6 +102,48 @@ def test_line_changes_counts(spark):
     assert got == {("b", 1, 0), ("d", 0, 1)}
 
 
+def _apply(original, diff):
+    """The edit, rebuilt from the original's lines and a diff."""
+    lines = original.splitlines()
+    removed = {d.line_no for d in diff if d.sign == "-"}
+    assert [lines[d.line_no - 1] for d in diff if d.sign == "-"] == [d.line for d in diff if d.sign == "-"]
+    rest = [x for i, x in enumerate(lines, 1) if i not in removed]
+    for d in (d for d in diff if d.sign == "+"):
+        rest.insert(d.line_no - 1, d.line)
+    return rest
+
+
+def test_line_diff_rebuilds_the_edit(spark):
+    pairs = [("a\nb", "b\na"), ("a\nb\nc", "a\nx\nc"), ("a\nb", "a\nb\nc"), ("a\nb", "b"), ("", "a"), ("a", ""),
+             ("a\na\na", "a\na"), ("a\nb\na", "a"), ("same", "same"), ("x\ny\n", "x\ny"), ("p\r\nq", "p\nr\nq")]
+    d = spark.createDataFrame([(1, i, o, e) for i, (o, e) in enumerate(pairs)],
+                              "tenant_id int, entity_id int, original_text string, edited_text string")
+    got = {r.entity_id: r.diff for r in d.select(
+        "entity_id", au.line_diff(F.col("original_text"), F.col("edited_text")).alias("diff")).collect()}
+    for i, (o, e) in enumerate(pairs):
+        assert _apply(o, got[i]) == e.splitlines(), (o, e, got[i])
+    assert [(x.sign, x.line_no, x.line) for x in got[0]] == [("-", 1, "a"), ("-", 2, "b"), ("+", 1, "b"), ("+", 2, "a")]
+    assert got[8] == [] and got[9] == []
+    rows = au.ordered_changes(d).where("entity_id = 1").collect()
+    assert sorted((r.sign, r.line_no, r.line) for r in rows) == [("+", 2, "x"), ("-", 2, "b")]
+    logged = au.audit_rows(d.withColumn("action", F.lit("edit"))).where("entity_id = 1").collect()
+    assert {r.action: len(r.diff) for r in logged} == {"DRAFTED": 0, "EDITED": 2}
+
+
+def test_evaluation_keeps_tenants_apart(spark):
+    from procura.operators import evals as ev
+    labels = spark.createDataFrame([(1, "I1", "LEAKAGE_DETECTED", "PRICE_VARIANCE"), (2, "I1", "APPROVED", None),
+                                    (2, "I2", "AMBIGUOUS", None)],
+                                   "tenant_id int, invoice_id string, expected_status string, expected_check_type string")
+    status = spark.createDataFrame([(1, "I1", "LEAKAGE_DETECTED"), (2, "I1", "APPROVED"), (1, "I2", "LEAKAGE_DETECTED"),
+                                    (2, "I2", "APPROVED")], "tenant_id int, invoice_id string, reconciliation_status string")
+    found = spark.createDataFrame([(1, "I1", "PRICE_VARIANCE"), (2, "I1", "DUPLICATE_PO")],
+                                  "tenant_id int, invoice_id string, check_type string")
+    assert tuple(ev.confusion(labels, status).first()) == (1, 0, 1, 0, 1)
+    assert tuple(ev.check_type_accuracy(labels, status, found).first()) == (1, 1, 1.0)
+    assert [tuple(r) for r in ev.held_out_decisions(labels, status).collect()] == [(2, "I2", "APPROVED")]
+
+
 def test_cost_status_telemetry(spark):
     rates = rn.rate_table(spark)
     runs = spark.createDataFrame(
@@ -151,9 +193,11 @@ def test_ground_truth_nested_and_lines(spark, tmp_path):
 def test_document_listing_and_keys(spark, tmp_path):
     for name in ["CON-001_Meridian.pdf", "CON-777_Unknown.pdf", "notes.pdf", "CON-002_x.txt"]:
         (tmp_path / name).write_bytes(b"%PDF")
-    docs = fl.list_documents(spark, str(tmp_path), "*.pdf")
-    contracts = spark.createDataFrame([("CON-001", 1, 0)], "contract_number string, contract_id int, tenant_id int")
-    assert [r.file_name for r in fl.doc_key_match(docs, contracts).collect()] == ["CON-001_Meridian.pdf"]
+    docs = fl.list_documents(spark, str(tmp_path), "*.pdf").withColumn("tenant_id", F.lit(0))
+    contracts = spark.createDataFrame([("CON-001", 1, 0), ("CON-001", 9, 1), ("CON-777", 2, 1)],
+                                      "contract_number string, contract_id int, tenant_id int")
+    # Other tenants' contracts of the same number are not matched.
+    assert [(r.file_name, r.contract_id) for r in fl.doc_key_match(docs, contracts).collect()] == [("CON-001_Meridian.pdf", 1)]
     skipped = {r.file_name: r.reason for r in fl.doc_key_skipped(docs, contracts).collect()}
     assert skipped == {"CON-777_Unknown.pdf": "unknown contract", "notes.pdf": "no key in name"}
     pages = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (1, 3, "")], "doc int, page_number int, page_text string")
@@ -188,11 +232,13 @@ def test_golden_sections_and_vector_literal(spark, tmp_path):
     assert v.select(vector_literal(F.col("v")).alias("s")).first().s == "[1.0,0.5,-2.0]"
 
 
-def test_spread_only_when_under_parallelism(spark):
-    from procura.sources.tables import spread
-    df = spark.range(1000).repartition(6)
-    assert spread(df, min_partitions=4) is df
-    assert spread(df, min_partitions=12).rdd.getNumPartitions() == 12
+def test_broadcast_check_counts_rows_and_bytes(spark):
+    from procura.functions.sizing import fits_broadcast
+    df = spark.range(50).select("id", F.repeat(F.lit("x"), 1000).alias("text"))
+    assert fits_broadcast(df) and fits_broadcast(df.limit(0))
+    assert not fits_broadcast(df, max_rows=49)
+    assert not fits_broadcast(df, max_bytes=50_000)
+
 
 
 def test_materialize_round_trip_and_cleanup(spark):
