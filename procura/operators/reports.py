@@ -52,15 +52,19 @@ def flagged_invoices(results: DataFrame, suppliers: DataFrame, limit="10") -> Da
 
 def flagged_report(results: DataFrame, suppliers: DataFrame) -> DataFrame:
     """Q-2 / F-7: every result row with variance; NULLs shown as a placeholder.
-
-    Severity orders as text (MEDIUM, LOW, HIGH descending), as in the reference."""
+    :func:`in_report_order` sorts what a reader is shown; the rows themselves need no global sort."""
     def shown(c: str) -> Column:
         return F.coalesce(F.col(c).cast("string"), F.lit(PLACEHOLDER))
     return _with_supplier(results, suppliers).select(
         "tenant_id", F.col("invoice_id").alias("invoice_number"), "supplier_name", "check_type",
         "expected_value", "actual_value", "variance_amount", "severity", "detected_at",
-        shown("expected_value").alias("expected_shown"), shown("actual_value").alias("actual_shown"),
-    ).orderBy("tenant_id", F.col("severity").desc(), F.col("detected_at").desc(), "invoice_number")
+        shown("expected_value").alias("expected_shown"), shown("actual_value").alias("actual_shown"))
+
+
+def in_report_order(report: DataFrame) -> DataFrame:
+    """Q-2: by tenant, severity, newest first. Severity orders as text (MEDIUM, LOW, HIGH descending),
+    as in the reference."""
+    return report.orderBy("tenant_id", F.col("severity").desc(), F.col("detected_at").desc(), "invoice_number")
 
 
 def supplier_search(suppliers: DataFrame, contracts: DataFrame, term: str) -> DataFrame:

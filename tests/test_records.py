@@ -26,6 +26,11 @@ def test_invoice_validation_rules(spark):
         "within_1": (_inv_json(total_amount=4500.9), []),
         "bad_json": ("not json", ["invalid_json"]),
         "array": ("[1, 2]", ["invalid_json"]),
+        "array_of_object": ("[" + _inv_json() + "]", ["invalid_json"]),
+        "cut_short": (_inv_json()[:-1], ["invalid_json"]),
+        "single_quotes": (_inv_json().replace('"', "'"), ["invalid_json"]),
+        "bare_nan": (_inv_json().replace("450.0", "NaN"), ["invalid_json"]),
+        "none": (None, ["invalid_json"]),
         "frac_qty": (_inv_json(quantity_billed=10.5), ["quantity_not_positive_int"]),
         "zero_price": (_inv_json(invoice_unit_price=0, total_amount=1), ["price_not_positive"]),
         "mismatch": (_inv_json(total_amount=4600), ["total_mismatch"]),
