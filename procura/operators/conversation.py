@@ -12,7 +12,6 @@ from .runs import PRIMARY_MODEL
 # and the message-type names used when a conversation is printed.
 ROUTE_LABELS = ["supplier_intel", "anomaly", "negotiation", "end"]
 FALLBACK_LABEL = "end"
-BULLET_CHARS = "-*• \t"
 MESSAGE_TYPES = {"user": "human", "assistant": "ai"}
 TAIL_MESSAGES = 6
 

@@ -302,10 +302,6 @@ def prompt_batch(t: Tables) -> DataFrame:
         (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("seq"), "tenant_id", "prompt", "conv_id", "turn")
 
 
-def _line_doc_id() -> Column:
-    return _invoice_id()
-
-
 def contract_replies(t: Tables) -> DataFrame:
     """Model replies for contract extraction, one per line item (1 or 2 items, some empty)."""
     sk, pk = (F.col(c).cast("string") for c in ("l_suppkey", "l_partkey"))
@@ -319,7 +315,7 @@ def contract_replies(t: Tables) -> DataFrame:
     terms = F.when(F.col("l_linenumber") == 5, F.lit(',"payment_terms":"Net 30"')).otherwise(F.lit(""))
     raw = F.when(F.col("l_linenumber") == 6, F.concat(head, F.lit("]}"))) \
         .otherwise(F.concat(head, item1, item2, F.lit("]"), terms, F.lit("}")))
-    return t.lineitem.select(_line_doc_id().alias("doc_id"), (F.col("l_suppkey") % 5).alias("tenant_id"),
+    return t.lineitem.select(_invoice_id().alias("doc_id"), (F.col("l_suppkey") % 5).alias("tenant_id"),
                              (F.col("l_linenumber") % 4 + 1).cast("int").alias("attempt"), raw.alias("raw_json"))
 
 
@@ -328,7 +324,7 @@ def contract_golden(t: Tables) -> DataFrame:
     exp_price = (F.col("l_partkey") % 50).cast("double") + F.when(F.col("l_discount") > 0.05, 0.005) \
         .when(F.col("l_tax") > 0.07, 0.02).otherwise(0.0)
     return t.lineitem.select(
-        _line_doc_id().alias("doc_id"),
+        _invoice_id().alias("doc_id"),
         F.concat(F.lit("CON-"), F.col("l_suppkey").cast("string")).alias("contract_number"),
         F.array(F.struct(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("item_sku"),
                          exp_price.alias("agreed_unit_price"))).alias("items"))
@@ -337,7 +333,7 @@ def contract_golden(t: Tables) -> DataFrame:
 def invoice_golden(t: Tables) -> DataFrame:
     qty = F.col("l_quantity").cast("int")
     price = (F.col("l_partkey") % 100).cast("int")
-    return t.lineitem.select(_line_doc_id().alias("doc_id"),
+    return t.lineitem.select(_invoice_id().alias("doc_id"),
                              F.col("l_orderkey").cast("string").alias("invoice_number"),
                              qty.alias("quantity_billed"), price.cast("double").alias("invoice_unit_price"),
                              (qty * price).cast("double").alias("total_amount"))
@@ -375,5 +371,5 @@ def invoice_texts(t: Tables) -> DataFrame:
                       F.lit("\n"), sku, F.lit(" x "), qty.cast("string"), F.lit(" units, unit rate "), price_s,
                       F.lit(" INR\nGrand Total = "), total.cast("string"), F.lit(" INR"))
     m = F.col("l_linenumber") % 3
-    return t.lineitem.select(_line_doc_id().alias("doc_id"),
+    return t.lineitem.select(_invoice_id().alias("doc_id"),
                              F.when(m == 0, clean).when(m == 1, messy).otherwise(dashed).alias("invoice_text"))
