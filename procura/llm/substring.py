@@ -31,7 +31,7 @@ K = 13          # words in a window
 M = 5           # words in a run that may be a minimizer
 NO_ID = 2**63 - 1
 _CHUNK = 1 << 20
-LONGEST = 1_023  # windows in a stretch; a span packs (part: 16 bits, first: 38, windows: 10)
+LONGEST = 1_023  # windows in a stretch; a span packs (first: 53 bits, windows: 10)
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -95,29 +95,29 @@ def stretches(w: np.ndarray, k: int = K, m: int = M) -> tuple[np.ndarray, np.nda
 
 
 def _zipped(docs: DataFrame) -> DataFrame:
-    """(doc, part, packed): texts travel through shuffles compressed."""
+    """(doc, tkey, packed): texts travel through shuffles compressed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             packed = [zip_.compress(t.as_py()) for t in batch.column("utf8")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("part"), pa.array(packed, pa.binary())],
-                                             ["doc", "part", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("tkey"), pa.array(packed, pa.binary())],
+                                             ["doc", "tkey", "packed"])
 
-    return docs.mapInArrow(run, "doc long, part int, packed binary")
+    return docs.mapInArrow(run, "doc long, tkey long, packed binary")
 
 
 def _stretch_spans(docs: DataFrame, k: int, m: int) -> DataFrame:
-    """(doc, mixed, settled): for each id the spans of stretches whose minimizer another id has as well:
+    """(doc, tkey, mixed, settled): for each text the spans of stretches whose minimizer another id has as well:
     ``mixed`` those to be compared edge by edge, ``settled`` (span, source) those that go whole."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, size = [], 0
-            for doc, part, text in zip(batch.column("doc").to_pylist(), batch.column("part").to_pylist(),
+            for doc, tkey, text in zip(batch.column("doc").to_pylist(), batch.column("tkey").to_pylist(),
                                        batch.column("utf8"), strict=True):
                 low, whole, first, count = stretches(word_hashes(text.as_py()), k, m)
                 if len(low):
-                    span = (np.int64(part) << np.int64(48)) | (first << 10) | count
-                    held.append((low.view(np.int64), whole.view(np.int64), np.full(len(low), doc, np.int64), span))
+                    held.append((low.view(np.int64), whole.view(np.int64), np.full(len(low), doc, np.int64),
+                                 np.full(len(low), tkey, np.int64), (first << 10) | count))
                     size += len(low)
                 if size >= 200_000:
                     yield table(held)
@@ -127,41 +127,43 @@ def _stretch_spans(docs: DataFrame, k: int, m: int) -> DataFrame:
 
     def table(held: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)],
-                                          ["low", "whole", "doc", "span"])
+                                          ["low", "whole", "doc", "tkey", "span"])
 
-    found = docs.mapInArrow(emit, "low long, whole long, doc long, span long")
+    found = docs.mapInArrow(emit, "low long, whole long, doc long, tkey long, span long")
     shared = found.groupBy("low").agg(F.min("doc").alias("source"), F.max("doc").alias("last"),
                                       F.min("whole").alias("w1"), F.max("whole").alias("w2")) \
         .filter("source < last") \
         .select(F.bitwise_not("low").alias("key"), "source", (F.col("w1") != F.col("w2")).alias("branches"))
-    kept = found.select(F.bitwise_not("low").alias("key"), "doc", "span").join(shared, "key") \
+    kept = found.select(F.bitwise_not("low").alias("key"), "doc", "tkey", "span").join(shared, "key") \
         .filter("branches or doc > source")
-    return materialize(kept.groupBy("doc").agg(
+    return materialize(kept.groupBy("doc", "tkey").agg(
         F.collect_set(F.when(F.col("branches"), F.col("span"))).alias("mixed"),
         F.collect_set(F.when(~F.col("branches"), F.struct("span", "source"))).alias("settled")), "substring_spans")
 
 
+def _keyed(texts: DataFrame) -> DataFrame:
+    """Adds ``d`` and ``t``, the join keys of a text, derived from its ``doc`` and ``tkey``."""
+    return texts.withColumn("d", F.bitwise_not("doc")).withColumn("t", F.bitwise_not("tkey"))
+
+
 def _edges(zipped: DataFrame, spans: DataFrame, k: int) -> DataFrame:
-    """(doc, part, at, edge, check): edges of the mixed stretches, as arrays, one row a text."""
+    """(doc, tkey, at, edge, check): edges of the mixed stretches, as arrays, one row a text."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        kind = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             rows, size = [], 0
-            for doc, part, packed, mixed in zip(*(batch.column(c) for c in ("doc", "part", "packed", "mixed")), strict=True):
+            for doc, tkey, packed, mixed in zip(*(batch.column(c) for c in ("doc", "tkey", "packed", "mixed")), strict=True):
                 span = mixed.values.to_numpy(zero_copy_only=False)
-                span = span[(span >> 48) & 0xFFFF == part.as_py()]
-                if not len(span):
-                    continue
                 w = word_hashes(unzip.decompress(packed.as_py()))
                 marks = np.zeros(len(w) - k + 2, np.int32)
-                first = (span >> 10) & ((1 << 38) - 1)
+                first = span >> 10
                 np.add.at(marks, first, 1)
                 np.add.at(marks, first + (span & 0x3FF), -1)
                 at = np.flatnonzero(np.cumsum(marks)[:-1] > 0)
                 edge = run_hashes(w, k, _B1)[at].view(np.int64)
                 check = (run_hashes(w, k, _B2)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                rows.append((doc.as_py(), part.as_py(), at.astype(np.int32), edge, check))
+                rows.append((doc.as_py(), tkey.as_py(), at.astype(np.int32), edge, check))
                 size += len(at)
                 if size >= 500_000:
                     yield pack(rows, kind)
@@ -171,36 +173,39 @@ def _edges(zipped: DataFrame, spans: DataFrame, k: int) -> DataFrame:
 
     def pack(rows: list, kind: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kind, strict=True)],
-                                          ["doc", "part", "at", "edge", "check"])
+                                          ["doc", "tkey", "at", "edge", "check"])
 
-    wanted = spans.filter(F.size("mixed") > 0).select(F.bitwise_not("doc").alias("d"), "mixed")
-    joined = zipped.withColumn("d", F.bitwise_not("doc")).join(wanted, "d").select("doc", "part", "packed", "mixed")
-    return materialize(joined.mapInArrow(emit, "doc long, part int, at array<int>, edge array<long>, check array<int>"),
+    wanted = _keyed(spans.filter(F.size("mixed") > 0)).select("d", "t", "mixed")
+    joined = _keyed(zipped).join(wanted, ["d", "t"]).select("doc", "tkey", "packed", "mixed")
+    return materialize(joined.mapInArrow(emit, "doc long, tkey long, at array<int>, edge array<long>, check array<int>"),
                        "substring_edges")
 
 
 def repeated_edges(edges: DataFrame) -> DataFrame:
-    """(doc, part, at, n, source): occurrences of edges that a smaller id has as well (n is 1).
+    """(doc, tkey, at, n, source): occurrences of edges that a smaller id has as well (n is 1).
 
     An edge is known by 96 bits of two independent hashes. Occurrences meet their edge's first
     document in a join whose hot keys AQE splits."""
-    flat = edges.select("doc", "part", F.explode(F.arrays_zip("at", "edge", "check")).alias("e")) \
-        .select("doc", "part", "e.at", "e.edge", "e.check")
+    flat = edges.select("doc", "tkey", F.explode(F.arrays_zip("at", "edge", "check")).alias("e")) \
+        .select("doc", "tkey", "e.at", "e.edge", "e.check")
     graph = flat.groupBy("edge", "check").agg(F.min("doc").alias("source"), F.max("doc").alias("last")) \
         .filter("source < last").select(F.bitwise_not("edge").alias("key"), F.bitwise_not("check").alias("tag"), "source")
-    return flat.select("doc", "part", "at", F.bitwise_not("edge").alias("key"), F.bitwise_not("check").alias("tag")) \
-        .join(graph, ["key", "tag"]).filter("doc > source").select("doc", "part", F.col("at").cast("long"), F.lit(1).cast("long").alias("n"), "source")
+    return flat.select("doc", "tkey", "at", F.bitwise_not("edge").alias("key"), F.bitwise_not("check").alias("tag")) \
+        .join(graph, ["key", "tag"]).filter("doc > source").select("doc", "tkey", F.col("at").cast("long"), F.lit(1).cast("long").alias("n"), "source")
 
 
 def compacted(repeated: DataFrame) -> DataFrame:
-    """(doc, paths): what follows on in a text with the same source becomes one path (part, at, edges, source)."""
-    text = W.partitionBy("doc", "part").orderBy("at", "n")
-    follows = (F.col("at") == F.lag(F.col("at") + F.col("n")).over(text)) & (F.col("source") == F.lag("source").over(text))
+    """(doc, tkey, paths): what follows on in a text with the same source becomes one path (at, edges, source).
+
+    Rows of one id and text bring their spans once each; equal spans fall into one path."""
+    text = W.partitionBy("doc", "tkey").orderBy("at", "n")
+    stop = F.col("at") + F.col("n")
+    follows = (F.col("at") <= F.lag(stop).over(text)) & (F.col("source") == F.lag("source").over(text))
     numbered = repeated.withColumn("opens", F.when(follows, 0).otherwise(1)) \
         .withColumn("path", F.sum("opens").over(text.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    paths = numbered.groupBy("doc", "part", "path") \
-        .agg(F.min("at").alias("at"), F.sum("n").alias("edges"), F.min("source").alias("source"))
-    return paths.groupBy("doc").agg(F.collect_list(F.struct("part", "at", "edges", "source")).alias("paths"))
+    paths = numbered.groupBy("doc", "tkey", "path") \
+        .agg(F.min("at").alias("at"), (F.max(stop) - F.min("at")).alias("edges"), F.min("source").alias("source"))
+    return paths.groupBy("doc", "tkey").agg(F.collect_list(F.struct("at", "edges", "source")).alias("paths"))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, m: int = M) -> DataFrame:
@@ -212,33 +217,32 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Cases: NULL and short texts keep all words. A NULL id counts as larger
     than any id and is returned as NULL; texts with equal ids (or NULL ids) do
-    not remove each other's words (they are told apart by 16 bits of a hash of
+    not remove each other's words (they are told apart by a 64-bit hash of
     the text). An empty table gives no rows. Whole texts
     are read, long ones in pieces; one text is the largest thing a task holds.
     Other columns are not read, whatever their names."""
     body = F.coalesce(F.col(text_col), F.lit(""))
-    # ``part`` tells texts with the same id apart.
+    # ``tkey`` tells texts with the same id apart.
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"),
-                       F.shiftrightunsigned(F.xxhash64(body), 48).cast("int").alias("part"), body.cast("binary").alias("utf8"))
+                       F.xxhash64(body).alias("tkey"), body.cast("binary").alias("utf8"))
     spans, zipped = _stretch_spans(rows, k, m), _zipped(rows)
-    settled = spans.select("doc", F.explode("settled").alias("s")).select("doc", "s.span", "s.source") \
-        .select("doc", F.shiftrightunsigned("span", 48).cast("int").alias("part"),
-                F.shiftrightunsigned("span", 10).bitwiseAND(F.lit((1 << 38) - 1)).alias("at"),
+    settled = spans.select("doc", "tkey", F.explode("settled").alias("s")).select("doc", "tkey", "s.span", "s.source") \
+        .select("doc", "tkey", F.shiftrightunsigned("span", 10).alias("at"),
                 F.col("span").bitwiseAND(F.lit(0x3FF)).alias("n"), "source")
     repeated = settled.unionByName(repeated_edges(_edges(zipped, spans, k)))
-    paths = materialize(compacted(repeated), "substring_paths").select(F.bitwise_not("doc").alias("d"), "paths")
-    joined = zipped.withColumn("d", F.bitwise_not("doc")).join(paths, "d", "left").select("doc", "part", "packed", "paths")
+    paths = _keyed(materialize(compacted(repeated), "substring_paths")).select("d", "t", "paths")
+    joined = _keyed(zipped).join(paths, ["d", "t"], "left").select("doc", "packed", "paths")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("source", pa.int64())])
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             out, size = [], 0
-            for doc, part, packed, found in zip(*(batch.column(c) for c in ("doc", "part", "packed", "paths")), strict=True):
-                doc, part, found = doc.as_py(), part.as_py(), found.as_py() or []
+            for doc, packed, found in zip(*(batch.column(c) for c in ("doc", "packed", "paths")), strict=True):
+                doc, found = doc.as_py(), found.as_py() or []
                 tokens = unzip.decompress(packed.as_py()).split()
                 spans: list[dict] = []
-                for path in sorted((x for x in found if x["part"] == part), key=lambda x: x["at"]):
+                for path in sorted(found, key=lambda x: x["at"]):
                     start, stop = path["at"], path["at"] + path["edges"] + k - 1
                     if spans and start <= spans[-1]["stop"]:
                         spans[-1]["stop"] = max(stop, spans[-1]["stop"])

@@ -309,6 +309,22 @@ def test_substring_matches_brute_force(spark, k, m):
     assert substring.substring_dedup(docs(spark, [])).count() == 0
 
 
+def test_substring_tells_many_texts_of_one_id_apart(spark):
+    """Thousands of texts without an id (and of one id) have spans of their own, at places of their own."""
+    rng = random.Random(8)
+    passage = [f"p{j}" for j in range(30)]
+    rows = [(1, " ".join(passage))]
+    for i in range(6_000):
+        own = [f"t{i}x{j}" for j in range(rng.randint(0, 60))]
+        at, a = rng.randint(0, len(own)), rng.randint(0, 10)
+        own[at:at] = passage[a:a + rng.randint(10, 20)]
+        rows.append((7 if i % 2 else None, " ".join(own)))
+    rows += rows[-3:]
+    got = [(r["id"], r["n_words"], r["n_removed"], r["kept_text"])
+           for r in substring.substring_dedup(docs(spark, [(i, t, "a") for i, t in rows])).collect()]
+    assert sorted(got, key=str) == sorted(brute_substring(rows, substring.K), key=str)
+
+
 def test_topk_matches_brute_force(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=16)]) for i in range(400)]
