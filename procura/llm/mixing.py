@@ -81,7 +81,9 @@ def mix_sources(rows: DataFrame, weights: DataFrame, id_col: str = "doc_id", sou
     targets, and each source's blocks to its shards by highest quotients of
     the words there. A shard is a seeded hash bucket. Within a (source, shard)
     cell the rows, in seeded order, form a ring of words; the cell's quota
-    takes that many blocks round the ring. So every row is taken whole
+    takes that many blocks round the ring. A cell takes ``max_repeats`` times
+    its words at most; what it won beyond goes to the source's other cells, in
+    proportion to their room, so a source of small cells meets its quota too. So every row is taken whole
     ``quota // cell`` times and the first blocks once more.
 
     Shards grow with the data, so the window of a cell stays small even for a
@@ -128,9 +130,19 @@ def mix_sources(rows: DataFrame, weights: DataFrame, id_col: str = "doc_id", sou
     quotas = sainte_lague(per_cell, F.col("source_quota") * F.col("cell") / F.col("source_size"),
                           F.col("source_quota"), F.col("n_cells"), ["skey"], ["shard"]) \
         .select(F.col("skey").alias("qk"), F.col("shard").alias("qs"), "quota")
+    most = F.floor(F.col("cell") * max_repeats)
     cell_plan = per_cell.join(quotas, (F.col("skey") == F.col("qk")) & (F.col("shard") == F.col("qs")), "left") \
+        .withColumn("won", F.least(F.coalesce("quota", F.lit(0)) * block, most)).withColumn("room", most - F.col("won"))
+    # Words that a cell won beyond what it can take go to its source's cells with room, in proportion to
+    # it: what the cells up to here are due, less what those before are. No cell gets more than its room.
+    source = W.partitionBy("skey")
+    room = F.sum("room").over(source)
+    over = F.least(F.col("source_quota") * block - F.sum("won").over(source), room)
+    upto = F.sum("room").over(source.orderBy("shard").rowsBetween(W.unboundedPreceding, W.currentRow))
+    cell_plan = cell_plan.withColumn("over", over).withColumn("all_room", F.greatest(room, F.lit(1))).withColumn("upto", upto) \
+        .withColumn("extra", F.expr("over * upto div all_room - over * (upto - room) div all_room")) \
         .select(F.col("skey").alias("ck"), F.col("shard").alias("cs"), "cell", "source_size", "target",
-                F.least(F.coalesce("quota", F.lit(0)) * block, F.col("cell") * max_repeats).alias("cell_take"))
+                (F.col("won") + F.col("extra")).alias("cell_take"))
 
     ring = W.partitionBy("skey", "shard").orderBy("seeded", F.col(id_col), size_col) \
         .rowsBetween(W.unboundedPreceding, W.currentRow)

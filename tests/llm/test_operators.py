@@ -226,6 +226,22 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix_sources(table.limit(0), mixing.cyclic_weights(table)).count() == 0
 
 
+def test_mixing_small_source_beside_a_large_corpus(spark):
+    """Cells of a row or two, smaller than a block: the source meets its target all the same."""
+    for n, size, repeats in ((1_000, 2, 1), (1_000, 2, 3), (1_000, 4, 3)):
+        rows = [(i, "small", size) for i in range(n)] + [(n + i, "large", 20_000) for i in range(4_000)]
+        table = spark.createDataFrame(rows, "doc_id long, source string, size long")
+        aim = 80_000_000.0 + n * size
+        weights = spark.createDataFrame([("small", float(repeats * n * size)), ("large", aim - repeats * n * size)],
+                                        "source string, weight double")
+        got = mixing.mix_sources(table, weights).collect()
+        small = [r for r in got if r["source"] == "small"]
+        assert len(got) == len(rows) and small[0]["target"] == pytest.approx(repeats * n * size)
+        assert all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+        assert abs(sum(r["taken"] for r in small) - small[0]["target"]) <= mixing.BLOCK
+        assert abs(sum(r["taken"] for r in got) - aim) <= 2 * mixing.BLOCK
+
+
 def test_sainte_lague_takes_the_highest_quotients(spark):
     rng = random.Random(4)
     for n, seats in ((3, 7), (12, 5), (40, 333)):
