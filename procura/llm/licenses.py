@@ -17,27 +17,42 @@ CONTAINMENT = 0.8
 MAX_KEYS = 50_000    # band keys of all notices together
 TERM = r"[\p{L}\p{N}]+"
 
-# The notices looked for. A caller may pass a table of its own (license, text).
+# The notices looked for, of five words and more. A caller may pass a table of its own (license, text).
 NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "You may not use this file except in compliance with the License. You may obtain a copy of the "
                    "License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("AGPL-3.0", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted "
                      "provided that the following conditions are met"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring "
+                "rights to this work"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
                 "General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+            "hereby granted"),
+    ("LGPL-3.0", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
             "associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+)
+# Notices of fewer words. The oracle of op10_licenses knows none, so the query does not look for them.
+SHORT_NOTICES = (
+    ("All-rights-reserved", "All rights reserved."),
+    ("Apache-2.0", "Apache License 2.0"),
+    ("MIT", "MIT License"),
 )
 
 
-def notices(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(NOTICES), "license string, text string")
+def notices(spark: SparkSession, short: bool = False) -> DataFrame:
+    """The notices; with ``short`` also those of fewer than five words."""
+    return spark.createDataFrame([*NOTICES, *(SHORT_NOTICES if short else ())], "license string, text string")
 
 
 def terms(text: Column) -> Column:
@@ -45,7 +60,7 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))
 
 
-def shingles(tokens: Column, k: int = SHINGLE_WORDS) -> Column:
+def shingles(tokens: Column, k: int | Column = SHINGLE_WORDS) -> Column:
     """Every run of k tokens joined by blanks, in order; fewer tokens give none."""
     return F.when(F.size(tokens) >= k, F.transform(
         F.sequence(F.lit(1), F.size(tokens) - (k - 1)), lambda i: F.concat_ws(" ", F.slice(tokens, i, k)))) \
@@ -95,7 +110,8 @@ def guard_words(templates: list[list[str]], containment: float) -> list[str]:
     ranked = sorted(serves, key=lambda w: (-serves[w], -len(w), w)) + sorted(words - set(serves), key=lambda w: (-len(w), w))
     chosen: list[str] = []
     for tokens in templates:
-        runs = {tuple(tokens[i:i + SHINGLE_WORDS]) for i in range(len(tokens) - SHINGLE_WORDS + 1)}
+        k = min(SHINGLE_WORDS, len(tokens))
+        runs = {tuple(tokens[i:i + k]) for i in range(len(tokens) - k + 1)}
         lacking = len(runs) - math.ceil(len(runs) * containment - 1e-9)
 
         def held(runs=runs) -> int:
@@ -109,6 +125,17 @@ def guard_words(templates: list[list[str]], containment: float) -> list[str]:
     return sorted(set(chosen))
 
 
+def _shingle_words(tokens: Column) -> Column:
+    """Words in a notice's shingles: five, or all words of a shorter notice."""
+    return F.least(F.lit(SHINGLE_WORDS), F.size(tokens))
+
+
+def _short_keys(tokens: Column) -> Column:
+    """Array of (minus the number of words, array of one key) for a notice of fewer than five words."""
+    return F.array(*[F.struct(F.lit(-n).alias("band"), F.when(F.size(tokens) == n, _hashes(tokens, n))
+                              .otherwise(F.array().cast("array<bigint>")).alias("keys")) for n in range(1, SHINGLE_WORDS)])
+
+
 def _tagged(band: int):
     return lambda key: F.struct(F.lit(band).alias("band"), key.alias("key"))
 
@@ -122,7 +149,7 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id",
                   containment: float = CONTAINMENT, bands: int = BANDS) -> DataFrame:
     """(id, license, template, n_shingles, n_found, containment, first_term): the
     notices that a text holds: at least ``containment`` of a notice's distinct
-    five-word shingles occur in it. ``template`` is the notice's text,
+    five-word shingles occur in it. A notice of fewer words is one shingle. ``template`` is the notice's text,
     ``first_term`` the position (from 0) of the first term of the first shingle found.
 
     Both sides are cut into windows at every offset: of one shingle for
@@ -135,14 +162,16 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id",
     texts with one of the notices' guard words (see :func:`guard_words`) are
     cut into windows; no other text can hold enough of a notice.
 
-    Cases: NULL, empty or short texts hold no shingle and give no row, as do
-    templates of fewer than five words. Rows repeated with the same id give
+    Cases: NULL and empty texts hold no shingle and give no row, as do
+    templates without words. Rows repeated with the same id give
     their rows each. Empty tables give no rows. Other columns are not read."""
     wanted = templates.select("license", F.col("text").alias("template"), terms(F.col("text")).alias("t")) \
-        .distinct().withColumn("shingles", F.array_distinct(shingles(F.col("t")))).filter(F.size("shingles") > 0) \
-        .withColumn("h", _hashes(F.col("t"))).withColumn("keys", _window_keys(F.col("h"), bands))
+        .distinct().filter(F.size("t") > 0) \
+        .withColumn("shingles", F.array_distinct(shingles(F.col("t"), _shingle_words(F.col("t"))))) \
+        .withColumn("h", _hashes(F.col("t"))) \
+        .withColumn("keys", F.concat(_window_keys(F.col("h"), bands), _short_keys(F.col("t"))))
     index = wanted.select("license", "template", "shingles", F.explode("keys").alias("b")) \
-        .filter((F.col("b.band") == 0) == (F.size("shingles") < WINDOWS[1])) \
+        .filter((F.col("b.band") < 0) | ((F.col("b.band") == 0) == (F.size("shingles") < WINDOWS[1]))) \
         .select("license", "template", "shingles", F.col("b.band").alias("band"), F.explode("b.keys").alias("key"))
     # The notices are the scan's configuration, of bounded size: their keys become literals.
     entries = index.select("band", "key", "license", "template").limit(MAX_KEYS + 1).collect()
@@ -162,7 +191,10 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id",
     hits = [F.array().cast("array<struct<band:int,key:bigint>>")]
     for band, keys in sorted(by_band.items()):
         known = F.array(*[F.lit(k).cast("long") for k in sorted(keys)])
-        mine = _band(F.col("h"), max(0, band - 1), WINDOWS[0] if band == 0 else WINDOWS[1])
+        if band < 0:
+            mine = _hashes(F.col("t"), -band)
+        else:
+            mine = _band(F.col("h"), max(0, band - 1), WINDOWS[0] if band == 0 else WINDOWS[1])
         hits.append(F.transform(F.array_intersect(mine, known), _tagged(band)))
     found = once(body, hit=F.concat(*hits)).filter(F.size("hit") > 0).select("id", "t", "hit")
     table = F.array(*[F.struct(F.lit(r["band"]).alias("band"), F.lit(r["key"]).cast("long").alias("key"),
@@ -172,7 +204,8 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id",
         F.filter(table, lambda t: F.array_contains(F.col("hit"), F.struct(t["band"].alias("band"), t["key"].alias("key")))),
         lambda t: F.struct(t["license"].alias("license"), t["template"].alias("template"))))))
     checked = once(retrieved.select("id", "candidate.license", "candidate.template", "t"), w=terms(F.col("template")))
-    checked = once(checked, have=shingles(F.col("t")), want=F.array_distinct(shingles(F.col("w"))))
+    checked = once(checked, k=_shingle_words(F.col("w")))
+    checked = once(checked, have=shingles(F.col("t"), F.col("k")), want=F.array_distinct(shingles(F.col("w"), F.col("k"))))
     checked = once(checked, n_found=F.size(F.array_intersect("want", "have")), n_shingles=F.size("want")) \
         .withColumn("containment", F.col("n_found") / F.col("n_shingles")) \
         .filter(F.col("n_found") >= F.col("n_shingles") * F.lit(containment) - F.lit(1e-9))

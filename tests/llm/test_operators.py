@@ -383,6 +383,19 @@ def test_licenses_found_and_spared(spark):
     assert licenses.scan_licenses(docs(spark, [(1, "a b", "x")]), licenses.notices(spark).limit(0)).count() == 0
 
 
+def test_short_licenses_are_found(spark):
+    rows = [(1, "text.\nAll rights reserved.\nmore"), (2, "all rights RESERVED"), (3, "all the rights reserved"), (4, "rights reserved"),
+            (5, "The MIT License, as it is"), (6, "free"), (7, "this is free and unencumbered software released into the public domain"),
+            (8, "GNU Lesser"), (9, None)]
+    table = docs(spark, [(i, t, "a") for i, t in rows])
+    got = licenses.scan_licenses(table, licenses.notices(spark, short=True)).collect()
+    assert sorted((r["id"], r["license"], r["n_shingles"], r["n_found"], r["first_term"]) for r in got) == [
+        (1, "All-rights-reserved", 1, 1, 1), (2, "All-rights-reserved", 1, 1, 0), (5, "MIT", 1, 1, 1), (7, "Unlicense", 7, 7, 0)]
+    own = spark.createDataFrame([("x", "free"), ("y", "GNU lesser"), ("z", " . "), ("w", "all the rights reserved")], "license string, text string")
+    got = licenses.scan_licenses(table, own).collect()
+    assert sorted((r["id"], r["license"]) for r in got) == [(3, "w"), (6, "x"), (7, "x"), (8, "y")]
+
+
 def test_quality_held_out_and_awkward(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
