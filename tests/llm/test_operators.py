@@ -359,6 +359,16 @@ def test_topk_matches_brute_force(spark):
     assert topk.top_k(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_fails_on_finite_components_out_of_range(spark):
+    for kind, large in (("float", 3e38), ("double", 1e308), ("double", -2.0**55)):
+        good = [(50, [1.0, 2.0]), (51, [float("inf"), large]), (52, [2.0, 1.0]), (None, [large, 1.0])]
+        schema = f"vec_id long, embedding array<{kind}>"
+        got = topk.top_k(spark.createDataFrame(good, schema), F.col("vec_id") % 50 == 0).collect()
+        assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(50, 52, 4 * 256**2)]
+        with pytest.raises(Exception, match="finite component beyond"):
+            topk.top_k(spark.createDataFrame([*good, (53, [large, 1.0])], schema), F.col("vec_id") % 50 == 0).collect()
+
+
 def test_licenses_found_and_spared(spark):
     long = dict((t, n) for n, t in licenses.NOTICES if len(t) > 150)
     altered = {t: t.replace(" the ", " a ", 1) for t in long}
