@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.plan import once
 from ..session import materialize
-from . import exact_dedup, licenses, mixing, packing, quality, sharding, simhash, substring, topk, url_filter
-from .common import lower_ascii, word_count
+from . import (alignment, exact_dedup, licenses, mixing, packing, periodic, quality, sharding, simhash, substring,
+               topk, url_filter)
+from .common import lower_ascii, word_count, words
 from .oracles import ORACLE_SQL
 
 __all__ = ["QUERIES", "ORACLE_SQL"]
@@ -101,6 +103,40 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(docs, licenses.notices(spark)).withColumnRenamed("id", "doc_id")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token groups of the byte-level and the piece tokenizer in every document, and their links' corpus counts."""
+    return alignment.align_documents(_read(spark, sf_dir, "documents", "doc_id", "text")) \
+        .select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def planted_repeats(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text`` of all documents; where crc32 of the id says so, the words from one on repeat."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = F.coalesce(h % 10 == 0, F.lit(False))
+    read = once(docs.select("doc_id", "text"), _g=F.floor(h / 10).cast("long"),
+                _words=F.when(chosen, words(F.col("text"))).otherwise(F.array().cast("array<string>")))
+    n = F.size("_words")
+    read = once(read.withColumn("_a", F.try_mod("_g", n)),
+                _p=F.lit(1) + F.floor((n - F.col("_a")) / (F.lit(3) + F.col("_g") % 8)).cast("long"))
+    repeated = F.transform("_words", lambda w, i: F.when(i < F.col("_a"), w).otherwise(
+        F.get("_words", (F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int"))))
+    return read.select("doc_id", F.when(n > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's periodic runs, the strongest of them, and digests of the runs and of the text without repeats."""
+    docs = planted_repeats(_read(spark, sf_dir, "documents", "doc_id", "text"))
+    found = once(periodic.periodic_runs(docs), best=periodic.strongest("runs"))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = F.col("best")
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"),
+        best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(F.lit(1000) * best["length"] / best["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_simhash, op4_url_filter, op5_packing, op6_mixing,
-                            op7_sharding, op8_substring_dedup, op9_topk_search, op10_licenses)}
+                            op7_sharding, op8_substring_dedup, op9_topk_search, op10_licenses, op11_alignment,
+                            op12_periodic)}
