@@ -41,9 +41,9 @@ def cache_idf(cache: DataFrame) -> DataFrame:
     return corpus_idf(term_table(cache, "cache_id", "prompt_text"), "cache_id")
 
 
-def semantic_matches(pvec: DataFrame, cvec: DataFrame, threshold: float) -> DataFrame:
-    """(prompt_id, cache_id, similarity) for the best cache entry of each prompt with
-    similarity >= threshold (ties to the smallest cache id). Exact; see module doc."""
+def similar_pairs(pvec: DataFrame, cvec: DataFrame, threshold: float) -> DataFrame:
+    """(prompt_id, cache_id, similarity) of all pairs of a tenant with similarity >= threshold.
+    Exact; see module doc."""
     maxw = pvec.groupBy("term").agg(F.max("weight").alias("maxw"))
     df_c = cvec.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     y = cvec.join(df_c, "term").join(maxw, "term", "left") \
@@ -57,9 +57,15 @@ def semantic_matches(pvec: DataFrame, cvec: DataFrame, threshold: float) -> Data
         .select("prompt_id", "cache_id").distinct()
     px = pvec.select("prompt_id", "term", F.col("weight").alias("xw"))
     cy = cvec.select("cache_id", "term", F.col("weight").alias("yw"))
-    sims = cand.join(px, "prompt_id").join(cy, ["cache_id", "term"]) \
+    return cand.join(px, "prompt_id").join(cy, ["cache_id", "term"]) \
         .groupBy("prompt_id", "cache_id").agg(F.sum(F.col("xw") * F.col("yw")).alias("similarity")) \
         .where(F.col("similarity") >= threshold)
+
+
+def semantic_matches(pvec: DataFrame, cvec: DataFrame, threshold: float) -> DataFrame:
+    """(prompt_id, cache_id, similarity) for the best cache entry of each prompt with
+    similarity >= threshold (ties to the smallest cache id)."""
+    sims = similar_pairs(pvec, cvec, threshold)
     # Best per prompt: highest similarity, then smallest cache id. A grouped
     # min_by aggregates partially, so a prompt with very many candidates is
     # reduced map-side rather than sorted whole in one task.

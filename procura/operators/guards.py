@@ -6,14 +6,14 @@ whole-stage code generation over any number of rows; no Python runs per row.
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.plan import once
 from ..functions.text import py_pattern, py_strip
+from ..session import materialize
 from .scope import scoped_views
+from .sql_plan import refusals
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's behaviour)
@@ -163,33 +163,29 @@ PREVIEW_ROWS = 20  # rows shown with the full row count
 
 
 def preview(result: DataFrame, n: int = PREVIEW_ROWS) -> tuple[int, DataFrame]:
-    """Q-9: the full row count and the first ``n`` rows of a guarded result."""
-    return result.count(), result.limit(n)
-
+    """Q-9: the full row count and the first ``n`` rows of a guarded result, from one execution.
 
-OUTSIDE = "Query reads something other than the tenant's tables."
-# Functions that run arbitrary JVM code or read outside the statement's tables.
-_UNSAFE_CALLS = re.compile(r"'`?(reflect|try_reflect|java_method|input_file_name|read_files)`?\(")
+    The result is stored as it is computed and counted on the way (an observed metric), so count and preview
+    show the same answer even if its tables change. Columns are stored by position, so repeated names and
+    untyped NULLs are kept; a row's place in the result's order is stored with it."""
+    counted = Observation()
+    stored = [F.col(f"c{i}").cast("string") if kind == "void" else F.col(f"c{i}") for i, (_, kind) in enumerate(result.dtypes)]
+    placed = result.toDF(*[f"c{i}" for i in range(len(result.columns))]).select(
+        *[c.alias(f"c{i}") for i, c in enumerate(stored)], F.monotonically_increasing_id().alias("place"))
+    kept = materialize(placed.observe(counted, F.count(F.lit(1)).alias("rows")), "guarded_result")
+    first = kept.orderBy("place").limit(n).drop("place")
+    shown = first.select(*[F.lit(None) if kind == "void" else F.col(f"c{i}") for i, (_, kind) in enumerate(result.dtypes)])
+    return counted.get["rows"], shown.toDF(*result.columns)
 
 
-def outside_scope(spark: SparkSession, sql: str, names) -> bool:
-    """True if a statement's parsed plan names a relation other than the given
-    views and its own CTEs (a file path, a stale view, a catalog table), calls
-    a table function, or calls into the JVM. The plan is Spark's own parse, so
-    comments, quoting and nesting do not hide a reference."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).toString()
-    allowed = {n.lower() for n in names}
-    for ctes in re.findall(r"CTE \[([^\]]*)\]", plan):
-        allowed |= {c.strip().lower() for c in ctes.split(",")}
-    relations = re.findall(r"'UnresolvedRelation \[([^\]]*)\]", plan)
-    return any(r.strip().lower() not in allowed for r in relations) or "UnresolvedTableValuedFunction" in plan \
-        or bool(_UNSAFE_CALLS.search(plan.lower()))
+OUTSIDE = "Query reads something other than the tenant's tables."
 
 
 def _run_scoped(spark: SparkSession, tables: dict[str, DataFrame], tenant_id, sql: str) -> DataFrame:
     """Analyse ``sql`` over the tenant's views, which exist for that moment only."""
-    if outside_scope(spark, sql, tables):
-        raise SQLBlocked(OUTSIDE)
+    refused = refusals(spark, sql, tables)
+    if refused:
+        raise SQLBlocked(f"{OUTSIDE} Refused: {', '.join(refused)}.")
     views = scoped_views(spark, tables, tenant_id)
     try:
         return spark.sql(sql)
@@ -206,8 +202,8 @@ def guarded_query(spark: SparkSession, tables: dict[str, DataFrame], tenant_id,
                   preview_rows: int = 20) -> tuple[DataFrame, str]:
     """G-4: screen one statement, expose only the tenant's rows, run it with Spark SQL.
 
-    Returns ``(result_frame, safe_sql)``; the caller counts rows and shows
-    ``preview_rows`` of them. Raises :class:`SQLBlocked` with the reason."""
+    Returns ``(result_frame, safe_sql)``; :func:`preview` counts and shows its rows. Raises
+    :class:`SQLBlocked` with the reason: the screen's, or what :func:`.sql_plan.refusals` found."""
     screened = screen_sql(spark.createDataFrame([(sql,)], "sql string")).first()
     if not screened["allowed"]:
         raise SQLBlocked(screened["reason"])
