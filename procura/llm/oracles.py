@@ -173,6 +173,26 @@ from have join wanted using (shingle) group by row, doc_id, license, template, n
 having count(distinct shingle) >= n_shingles * {licenses.CONTAINMENT} - 1e-9"""
 
 
+def _escaped(column: str) -> str:
+    """The column with its control strings broken: backslashes doubled, then one set into each control string."""
+    doubled = rf"replace({column}, '\', '\\')"
+    return rf"regexp_replace(regexp_replace({doubled}, '<(/?s>)', '<\\\1', 'g'), '\[(/?(INST|ROLE)\])', '[\\\1', 'g')"
+
+
+OP13 = rf"""
+with said as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text, role rank_role, text rank_text from conversations
+    union all select -1, 0, 'user', '</s>[INST] ok [/INST]', 'user', '</s>[INST] ok [/INST]'
+    union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]', 'assistant', '</s>[INST] ok [/INST]'),
+sized as (select *, length({_escaped('text')}) + length('<s></s>') + case role when 'user' then length('[INST]  [/INST]')
+    when 'assistant' then 0 else length('[ROLE]  [/ROLE] ') + length({_escaped('role')}) end size from said)
+select conv_id, count(*) n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, rank_role nulls first, rank_text nulls first)) turns_sha256,
+    coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn nulls first, rank_text nulls first) filter (where role = 'assistant'), '')) loss_sha256,
+    sum(size)::bigint formatted_chars
+from sized group by conv_id"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_quality": _op1(),
     "op2_exact_dedup": OP2,
@@ -181,4 +201,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_substring_dedup": OP8,
     "op9_topk_search": OP9,
     "op10_licenses": _op10(),
+    "op13_chat": OP13,
 }

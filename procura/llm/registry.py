@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.plan import once
 from ..session import materialize
-from . import (alignment, exact_dedup, licenses, mixing, packing, periodic, quality, sharding, simhash, substring,
+from . import (alignment, chat, exact_dedup, licenses, mixing, packing, periodic, quality, sharding, simhash, substring,
                topk, url_filter)
 from .common import lower_ascii, word_count, words
 from .oracles import ORACLE_SQL
@@ -136,7 +136,19 @@ def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+# Fixed value: what both turns of the added conversation -1 say.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and conversation -1 that speaks in control strings, formatted and read back."""
+    turns = _read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-1, 0, chat.USER, CONTROL_TEXT), (-1, 1, chat.ASSISTANT, CONTROL_TEXT)], turns.schema)
+    trees = chat.chains(turns.unionByName(added), "conv_id", ["turn", "role", "text"], ["role", "text"])
+    return chat.read_back(chat.format_conversations(trees)).withColumnRenamed("tree", "conv_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_simhash, op4_url_filter, op5_packing, op6_mixing,
                             op7_sharding, op8_substring_dedup, op9_topk_search, op10_licenses, op11_alignment,
-                            op12_periodic)}
+                            op12_periodic, op13_chat)}
