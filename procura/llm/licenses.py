@@ -42,7 +42,7 @@ NOTICES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-# Notices of fewer words. The oracle of op10_licenses knows none, so the query does not look for them.
+# Notices of fewer words.
 SHORT_NOTICES = (
     ("All-rights-reserved", "All rights reserved."),
     ("Apache-2.0", "Apache License 2.0"),

@@ -5,8 +5,8 @@ tested against brute force."""
 
 from __future__ import annotations
 
-from . import licenses, mixing, packing, quality  # noqa: F401  (their parameters appear in the SQL)
-from .licenses import NOTICES
+from . import licenses, mixing, quality
+from .licenses import NOTICES, SHORT_NOTICES
 
 W = r"'[^\x20\x09-\x0D]+'"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -123,8 +123,12 @@ c3 as (select *, greatest(0, floor(share)::bigint - slack) given, floor(share)::
 c4 as (select *, source_quota - sum(given) over (partition by skey) open, unnest(range(given + 1, upto + 1)) k from c3),
 c5 as (select *, row_number() over (partition by skey order by share / (2 * k - 1) desc, shard, k) <= open won from c4),
 quotas as (select skey, shard, max(given) + count(*) filter (where won) quota from c5 group by all),
-plan as (select c0.*, least(coalesce(quota, 0) * {mixing.BLOCK}, cell * {mixing.MAX_REPEATS})::bigint take
+won as (select c0.*, least(coalesce(quota, 0) * {mixing.BLOCK}, cell * {mixing.MAX_REPEATS})::bigint won
     from c0 left join quotas using (skey, shard)),
+rooms as (select *, cell * {mixing.MAX_REPEATS} - won room, sum(room) over (partition by skey) all_room,
+    sum(room) over (partition by skey order by shard rows unbounded preceding) upto,
+    least(source_quota * {mixing.BLOCK} - sum(won) over (partition by skey), all_room) beyond from won),
+plan as (select *, (won + beyond * upto // greatest(all_room, 1) - beyond * (upto - room) // greatest(all_room, 1))::bigint take from rooms),
 ring as (select p.*, sum(size) over (partition by skey, shard order by seeded, doc_id nulls first, size
     rows unbounded preceding)::bigint stop from placed p),
 parts as (select r.doc_id, r.size, source_size, target, stop, take, case when cell > 0 then take // cell else 0 end again, cell
@@ -156,20 +160,21 @@ select query_id, rank, vec_id, score from ranked where rank <= 5"""
 
 
 def _op10() -> str:
-    rows = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in NOTICES)
-    shingle = "list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' '))"
+    rows = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in (*NOTICES, *SHORT_NOTICES))
     term = r"'[\p{L}\p{N}]+'"
     return rf"""
 with n(license, template) as (values {rows}),
 nt as (select *, regexp_extract_all(lower(template), {term}) t from n),
-want as (select license, template, list_distinct({shingle}) s from nt where len(t) >= 5),
-wanted as (select license, template, len(s)::int n_shingles, unnest(s) shingle from want),
+kt as (select *, least({licenses.SHINGLE_WORDS}, len(t)) k from nt),
+want as (select license, template, k,
+    list_distinct(list_transform(range(1, len(t) - k + 2), lambda i: array_to_string(t[i:i + k - 1], ' '))) s from kt),
+wanted as (select license, template, k, len(s)::int n_shingles, unnest(s) shingle from want),
 docs as (select row_number() over () row, doc_id, regexp_extract_all(lower(coalesce(text, '')), {term}) t from documents),
-flat as (select row, doc_id, unnest(range(0, len(t) - 4)) pos, t from docs where len(t) >= 5),
-have as (select row, doc_id, pos, array_to_string(t[pos + 1:pos + 5], ' ') shingle from flat)
+flat as (select row, doc_id, k, unnest(range(0, len(t) - k + 1)) pos, t from docs, (select distinct k from kt) where len(t) >= k),
+have as (select row, doc_id, k, pos, array_to_string(t[pos + 1:pos + k], ' ') shingle from flat)
 select doc_id, license, template, n_shingles, count(distinct shingle)::int n_found,
     count(distinct shingle) / n_shingles::double containment, min(pos)::int first_term
-from have join wanted using (shingle) group by row, doc_id, license, template, n_shingles
+from have join wanted using (k, shingle) group by row, doc_id, license, template, n_shingles
 having count(distinct shingle) >= n_shingles * {licenses.CONTAINMENT} - 1e-9"""
 
 

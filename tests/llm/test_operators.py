@@ -6,7 +6,10 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -242,6 +245,19 @@ def test_mixing_small_source_beside_a_large_corpus(spark):
         assert abs(sum(r["taken"] for r in got) - aim) <= 2 * mixing.BLOCK
 
 
+def test_mixing_query_and_sql_agree_where_cells_overflow(spark, tmp_path):
+    """Shards whose cells of a small source are smaller than a block."""
+    rows = [(i, "a small", 2) for i in range(1_000)] + [(1_000 + i, "b large", 2_000) for i in range(3_000)]
+    table = pa.table({"doc_id": [r[0] for r in rows], "source": [r[1] for r in rows], "text": ["w " * r[2] for r in rows]})
+    pq.write_table(table, tmp_path / "documents.parquet")
+    got = sorted(tuple(r) for r in registry.op6_mixing(spark, str(tmp_path)).collect())
+    base = duckdb.connect()
+    base.execute(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    assert got == sorted(base.sql(registry.ORACLE_SQL["op6_mixing"]).fetchall())
+    small = [r for r in got if r[0] < 1_000]
+    assert abs(sum(r[4] for r in small) - small[0][3]) <= mixing.BLOCK
+
+
 def test_sainte_lague_takes_the_highest_quotients(spark):
     rng = random.Random(4)
     for n, seats in ((3, 7), (12, 5), (40, 333)):
