@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cache as ca
+from ..operators.batch_cache import SIMILARITY_DIGITS, resolve_in_order
 from ..operators.runs import PRIMARY_MODEL
 from ..operators.search import STOP_WORDS
 from ..session import materialize
@@ -142,3 +143,54 @@ def q_cache_upsert(t: Tables):
     """S-11: the cache, hits counted, after storing this batch's answers to new and to known keys."""
     res = materialize(resolved(t, LOW_THRESHOLD), "resolved")
     return ca.upsert(ca.hit_counts(ca.dedupe_cache(fx.cache_snapshot(t)), res), new_answers(t, res))
+
+
+def _in_order_oracle(threshold: float) -> str:
+    """The batch prompt by prompt: a recursive query carries the list of the prompts stored so far."""
+    return _resolve_oracle(threshold) + f"""
+, asked as (select *, row_number() over (order by seq, prompt_id) as k from (
+              select *, row_number() over (partition by tenant_id, query_hash order by seq, prompt_id) as r from rest) where r = 1)
+, avec as (select a.k, a.tenant_id, v.term, v.v from asked a join pvec v using (prompt_id))
+, pairs as (select x.k as x, y.k as y, sum(x.v * y.v) as similarity from avec x join avec y using (tenant_id, term)
+            where x.k <> y.k group by all having sum(x.v * y.v) >= {threshold})
+, prep as (select a.k, a.prompt_id in (select prompt_id from sims) as hit,
+                  coalesce((select list(y) from pairs where x = a.k and y < a.k), []) as earlier from asked a)
+, stored as (with recursive walk(k, entries) as (
+               select cast(0 as bigint), cast([] as bigint[])
+               union all
+               select p.k, case when p.hit or list_has_any(w.entries, p.earlier) then w.entries else list_append(w.entries, p.k) end
+               from walk w join prep p on p.k = w.k + 1)
+             select unnest(entries) as k from (select entries from walk order by k desc limit 1))
+, entry as (select a.k, a.prompt_id, a.tenant_id, a.query_hash, a.seq from stored join asked a using (k))
+, own as (select p.prompt_id, case when p.prompt_id = e.prompt_id then 'miss' else 'cache_exact' end as source,
+                 nullif(e.prompt_id, p.prompt_id) as answered_by from rest p join entry e using (tenant_id, query_hash))
+, found as (select p.prompt_id, s.cache_id, cast(null as varchar) as answered_by, s.similarity, 0 as own
+            from rest p join asked a using (tenant_id, query_hash) join sims s on s.prompt_id = a.prompt_id
+            union all
+            select p.prompt_id, null, e.prompt_id, x.similarity, 1
+            from rest p join asked a using (tenant_id, query_hash) join pairs x on x.x = a.k join entry e on e.k = x.y and e.seq < p.seq)
+, semantic as (select * from (select *, row_number() over (partition by prompt_id
+                 order by round(similarity, {SIMILARITY_DIGITS}) desc, own, coalesce(cache_id, answered_by)) as r from found)
+               where r = 1 and prompt_id not in (select prompt_id from own))
+, answered as (select prompt_id, 'cache_exact' as source, cache_id, cast(null as varchar) as answered_by, cast(null as double) as similarity from exact
+               union all select prompt_id, source, null, answered_by, null from own
+               union all select prompt_id, 'cache_semantic', cache_id, answered_by, similarity from semantic)
+select p.prompt_id, p.tenant_id, p.query_hash, r.source, r.cache_id, r.answered_by, round(r.similarity, 6) as similarity, c.response_text
+from p join answered r using (prompt_id) left join c on c.cache_id = r.cache_id"""
+
+
+def _in_order(t: Tables, threshold: float):
+    return resolve_in_order(fx.prompt_batch(t), fx.cache_snapshot(t), threshold).select(
+        "prompt_id", "tenant_id", "query_hash", "source", "cache_id", "answered_by", F.round("similarity", 6).alias("similarity"), "response_text")
+
+
+@query("cache_in_order", _in_order_oracle(ca.SEMANTIC_CACHE_THRESHOLD), _FX)
+def q_cache_in_order(t: Tables):
+    """R-7 / J-8: the batch one prompt after another, each answer stored before the next prompt is looked up."""
+    return _in_order(t, ca.SEMANTIC_CACHE_THRESHOLD)
+
+
+@query("cache_in_order_low", _in_order_oracle(LOW_THRESHOLD), _FX)
+def q_cache_in_order_low(t: Tables):
+    """R-7 / J-8: the same with a threshold low enough for answers of the batch to be found by similarity."""
+    return _in_order(t, LOW_THRESHOLD)
