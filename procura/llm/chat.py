@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -65,23 +66,29 @@ def reply_paths(messages: DataFrame, tree_col: str = "tree", node_col: str = "no
     found = messages.select(key.alias("key"), F.when(F.col(parent_col).isNotNull(), up).alias("up"), F.col(tree_col).alias("tree"),
                             F.col(node_col).alias("node"), F.coalesce(F.col(score_col).cast("double"), F.lit(0.0)).alias("score"))
     found = found.groupBy("key").agg(F.min(F.struct("up", "score", "tree", "node")).alias("m")).select("key", "m.*")
-    known = found.select(F.col("key").alias("up"), F.lit(True).alias("there"))
-    nodes = materialize(found.join(known, "up", "left").withColumn("up", F.when(F.col("there"), F.col("up"))).drop("there"), "messages")
+    # Rows without a parent get a key of their own that no node has, so they do not meet in one task.
+    found = found.withColumn("at", F.coalesce("up", F.concat(F.lit("r"), "key")))
+    known = found.select(F.col("key").alias("at"), F.lit(True).alias("there"))
+    nodes = materialize(found.join(known, "at", "left").withColumn("up", F.when(F.col("there"), F.col("up"))).drop("there", "at"), "messages")
 
-    # jumps[k]: the ancestor 2^k steps above, of the nodes that have one.
+    # jumps[k]: the ancestor 2^k steps above, of the nodes that have one. Nodes whose root is reached are settled
+    # and only looked up from then on, so a round costs what still climbs.
     state = nodes.select("key", "up", F.lit(1).cast("long").alias("length"), "score")
     jumps: list[DataFrame] = []
+    settled: list[DataFrame] = []
     most = nodes.count()
     while True:
-        jump = state.filter(F.col("up").isNotNull()).select("key", "up")
-        if jump.isEmpty() or 1 << len(jumps) > 2 * most:  # what still has an ancestor then is on or below a cycle
+        climbing = state.filter(F.col("up").isNotNull())
+        settled.append(state.filter(F.col("up").isNull()))
+        if climbing.isEmpty() or 1 << len(jumps) > 2 * most:  # what still has an ancestor then is on or below a cycle
             break
-        jumps.append(jump)
-        above = state.select(F.col("key").alias("up"), F.col("up").alias("next"), F.col("length").alias("more"), F.col("score").alias("sum"))
-        state = materialize(state.join(above, "up", "left").select(
-            "key", F.col("next").alias("up"), (F.col("length") + F.coalesce("more", F.lit(0))).alias("length"),
-            (F.col("score") + F.coalesce("sum", F.lit(0.0))).alias("score")), "reply_jumps")
-    rooted = state.filter(F.col("up").isNull()).select("key", "length", F.col("score").alias("branch_score"))
+        jumps.append(climbing.select("key", "up"))
+        above = reduce(DataFrame.unionByName, settled, climbing).select(
+            F.col("key").alias("up"), F.col("up").alias("next"), F.col("length").alias("more"), F.col("score").alias("sum"))
+        state = materialize(climbing.join(above, "up").select(
+            "key", F.col("next").alias("up"), (F.col("length") + F.col("more")).alias("length"),
+            (F.col("score") + F.col("sum")).alias("score")), "reply_jumps")
+    rooted = reduce(DataFrame.unionByName, settled).select("key", "length", F.col("score").alias("branch_score"))
 
     parents = nodes.filter(F.col("up").isNotNull()).select(F.col("up").alias("key")).distinct()
     leaves = nodes.join(parents, "key", "left_anti").join(rooted, "key") \
@@ -92,7 +99,7 @@ def reply_paths(messages: DataFrame, tree_col: str = "tree", node_col: str = "no
         ranked = ranked.filter(F.col("branch") <= paths)
     walk = ranked.select("tree", F.col("node").alias("leaf"), F.col("key").alias("leaf_key"), "branch", "branch_score", "key",
                          (F.col("length") - 1).alias("depth"))
-    for k, jump in enumerate(jumps):
+    for k, jump in reversed(list(enumerate(jumps))):  # the longest first, while few nodes are on the walk
         on = F.col("up").isNotNull()
         both = F.array(F.struct("key", "depth"), F.struct(F.col("up").alias("key"), (F.col("depth") - (1 << k)).alias("depth")))
         walk = walk.join(jump, "key", "left").select(
