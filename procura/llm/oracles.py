@@ -18,7 +18,9 @@ def _op1() -> str:
     unpivot = " union all ".join(f"select good, '{n}' feature, {n} bin from marked" for n in names)
     total = " + ".join(f"coalesce((select r from ratio where feature = '{n}' and bin = d.{n}), "
                        f"(select r from unseen where feature = '{n}'))" for n in names)
-    sizes = ", ".join(f"('{n}', {b})" for n, b in bins.items())
+    sizes = ", ".join("('{}', {}, {}, {})".format(n, b, *quality.spread(n)) for n, b in bins.items())
+    buckets, half = quality.GRAM_BUCKETS, bins["grams"] // 2
+    no_points = quality.NO_PUNCTUATION.replace("'", "''")
     edge, most = quality.EDGE, quality.MOST_SHRUNK
 
     def weight(v: str, groups: str) -> str:
@@ -26,28 +28,38 @@ def _op1() -> str:
         return f"case when {spread} <= 0 then {most} else least({most}, greatest(1.0, mean * (1 - mean) / {spread} - 1.0)) end"
 
     return rf"""
-with words as (select doc_id, source, lang, coalesce(text, '') body,
+with words as (select row_number() over () id, doc_id, source, lang, coalesce(text, '') body,
     string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') tokens,
-    regexp_replace(coalesce(text, ''), '[^*$%&#!|A-Z]+', '', 'g') marks from documents),
-counts as (select *, len(tokens) n,
-    length(regexp_replace(marks, '[^*$%&#!]', '', 'g')) n_symbols,
-    length(regexp_replace(marks, '[*$%&#!|]', '', 'g')) n_capitals,
-    length(regexp_replace(marks, '[^|]', '', 'g')) n_bars,
-    len(list_filter(range(2, len(tokens) + 1), lambda i: tokens[i] = tokens[i - 1])) n_repeats from words),
-bins as (select doc_id, source, lang,
-    least({bins['symbols'] - 1}, floor(n_symbols * 8 / greatest(n, 1)))::int symbols,
+    regexp_replace(coalesce(text, ''), '{quality.PLAIN}', '', 'g') marks from documents),
+codes as (select id, doc_id, list_transform(regexp_extract_all(body, '(?s).'), lambda c: unicode(c)::bigint) c from words),
+grams as (select id, doc_id, unnest(list_transform(range(1, len(c) - 1),
+    lambda i: ((c[i] * 31 + c[i + 1]) * 31 + c[i + 2]) % {buckets})) bucket from codes where len(c) > 2),
+shown as (select bucket, count(*) filter (where quality = 1) g, count(*) filter (where quality = 0) b
+    from grams join labels using (doc_id) where quality in (0, 1) group by bucket),
+shown_all as (select coalesce(sum(g), 0) tg, coalesce(sum(b), 0) tb from shown),
+weights as (select bucket, floor((ln((coalesce(g, 0) + 1.0) / (tg + {buckets})) - ln((coalesce(b, 0) + 1.0) / (tb + {buckets})))
+    * {quality.GRAM_UNIT} + 0.5)::bigint w from (select unnest(range({buckets})) bucket) left join shown using (bucket), shown_all),
+means as (select id, least({bins['grams'] - 1}, greatest(0, {half} + floor(sum(w) * {quality.GRAM_STEPS} / ({quality.GRAM_UNIT} * count(*)))))::int grams
+    from grams join weights using (bucket) group by id),
+counts as (select words.*, coalesce(grams, {half}) grams, len(tokens) n,
+    length(regexp_replace(marks, '{quality.NO_CAPITAL}', '', 'g')) n_capitals,
+    length(regexp_replace(marks, '{no_points}', '', 'g')) n_points,
+    len(list_filter(range(2, len(tokens) + 1), lambda i: tokens[i] = tokens[i - 1])) n_repeats
+    from words left join means using (id)),
+bins as (select doc_id, source, lang, grams,
+    least({bins['symbols'] - 1}, floor((length(marks) - n_capitals - n_points) * 8 / greatest(n, 1)))::int symbols,
+    least({bins['punctuation'] - 1}, floor(n_points * 4 / (n + 3)))::int punctuation,
     least({bins['capitals'] - 1}, floor(n_capitals * 16 / greatest(length(body), 1)))::int capitals,
-    least({bins['bars'] - 1}, floor(n_bars * 8 / greatest(n, 1)))::int bars,
     least({bins['repeats'] - 1}, floor(n_repeats * 16 / greatest(n, 1)))::int repeats,
     least({bins['size'] - 1}, length(bin(n + 1)) - 1)::int size from counts),
 marked as (select b.*, l.quality good from bins b join labels l on b.doc_id = l.doc_id where l.quality in (0, 1)),
 classes as (select count(*) filter (where good = 1) g, count(*) filter (where good = 0) b from marked),
 long as ({unpivot}),
-sizes(feature, k) as (values {sizes}),
-ratio as (select feature, bin, ln((count(*) filter (where good = 1) + 1.0) / (any_value(g) + any_value(k)))
-    - ln((count(*) filter (where good = 0) + 1.0) / (any_value(b) + any_value(k))) r
+sizes(feature, k, more, less) as (values {sizes}),
+ratio as (select feature, bin, ln((count(*) filter (where good = 1) + any_value(more)) / (any_value(g) + any_value(k * more)))
+    - ln((count(*) filter (where good = 0) + any_value(less)) / (any_value(b) + any_value(k * less))) r
     from long join sizes using (feature), classes group by feature, bin),
-unseen as (select feature, ln(1.0 / (g + k)) - ln(1.0 / (b + k)) r from sizes, classes),
+unseen as (select feature, ln(more / (g + k * more)) - ln(less / (b + k * less)) r from sizes, classes),
 base as (select ln(((g + 1.0) / (g + b + 2.0)) / (1 - (g + 1.0) / (g + b + 2.0))) lb from classes),
 seen as (select d.*, {total} evidence from bins d),
 own as (select *, round({unit} / (1 + exp(-(evidence + lb))))::bigint own from seen, base),

@@ -422,14 +422,42 @@ def test_short_licenses_are_found(spark):
     assert sorted((r["id"], r["license"]) for r in got) == [(3, "w"), (6, "x"), (7, "x"), (8, "y")]
 
 
-def test_quality_held_out_and_awkward(spark):
+def _recalls(got):
+    """Share of the good documents kept, share of the bad ones rejected."""
+    good, bad = ([r["keep"] for r in got if r["label"] == c] for c in (1, 0))
+    assert len(good) > 50 and len(bad) > 9
+    return sum(good) / len(good), 1 - sum(bad) / len(bad)
+
+
+def test_quality_held_out_by_class(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    held = labels.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    good, bad = _recalls(quality.classify(d, labels.filter("doc_id % 3 <> 0")).join(held, "id").collect())
+    assert good >= 0.97 and bad >= 0.9
+
+
+def test_quality_rejects_junk_of_kinds_left_out_of_training(spark):
+    """Held-out junk in other marks and in lower case, and each kind of junk left out of the labels in turn."""
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    train = labels.filter("doc_id % 3 <> 0")
     held = labels.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
-    got = quality.classify(d, train).join(held, "id").collect()
-    wrong = sum(r["keep"] != (r["label"] == 1) for r in got)
-    assert len(got) > 80 and wrong / len(got) < 0.03
+    other = d.join(held.filter("label = 0"), d["doc_id"] == held["id"], "left") \
+        .withColumn("text", F.when(F.col("label") == 0, F.translate(F.lower("text"), "*$%&#!|", "~^?<>@=")).otherwise(F.col("text"))) \
+        .drop("id", "label")
+    good, bad = _recalls(quality.classify(other, labels.filter("doc_id % 3 <> 0")).join(held, "id").collect())
+    assert good >= 0.97 and bad >= 0.9
+    tagged = F.col("text").rlike(r"\w(\*\*\*|\$\$\$|%%%|&&&|###)")
+    shouted = F.col("text").rlike("[A-Z]{3,}!!")
+    for kind in (tagged, shouted):
+        left_out = d.filter(kind).select("doc_id")
+        train = labels.join(left_out, "doc_id", "left_anti")
+        judged = labels.join(left_out, "doc_id").filter("quality = 0").select(F.col("doc_id").alias("id"))
+        got = quality.classify(d, train).join(judged, "id").collect()
+        assert len(got) > 9 and sum(not r["keep"] for r in got) / len(got) >= 0.9
+
+
+def test_quality_awkward(spark):
     table = docs(spark, AWKWARD)
     bad = spark.createDataFrame([(1, None), (None, 1), (99, 1), (4, 5), (4, 1), (4, 1), (6, 0)], "doc_id long, quality int")
     for labelled in (bad, bad.limit(0)):
@@ -443,6 +471,6 @@ def test_site_posteriors_shrink_sparse_sites(spark):
     rows = [(i, "good plain words here " * 5 if i % 4 else "JUNK!! " * 20, "big") for i in range(400)]
     rows += [(1000 + i, "JUNK!! " * 20, "bad") for i in range(200)] + [(2000, "JUNK!! " * 20, "tiny")]
     labels = spark.createDataFrame([(i, int("good" in t)) for i, t, _ in rows[:80]], "doc_id long, quality int")
-    model = quality.fit(quality._bins(docs(spark, rows), "doc_id", "text", "source", "lang"), labels)
+    model = quality.fit(quality._bins(docs(spark, rows), [0] * quality.GRAM_BUCKETS, "doc_id", "text", "source", "lang"), labels)
     rate = {r["site"].split("|")[0].split(":")[1]: r["host_rate"] for r in model.paths.collect()}
     assert rate["bad"] < rate["tiny"] < rate["big"] and rate["bad"] < 0.1
