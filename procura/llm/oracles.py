@@ -34,8 +34,10 @@ with words as (select row_number() over () id, doc_id, source, lang, coalesce(te
 codes as (select id, doc_id, list_transform(regexp_extract_all(body, '(?s).'), lambda c: unicode(c)::bigint) c from words),
 grams as (select id, doc_id, unnest(list_transform(range(1, len(c) - 1),
     lambda i: ((c[i] * 31 + c[i + 1]) * 31 + c[i + 2]) % {buckets})) bucket from codes where len(c) > 2),
+learnt as (select doc_id, quality from labels where quality in (0, 1) and doc_id is not null
+    order by md5(doc_id::varchar), doc_id, quality limit {quality.GRAM_LABELS}),
 shown as (select bucket, count(*) filter (where quality = 1) g, count(*) filter (where quality = 0) b
-    from grams join labels using (doc_id) where quality in (0, 1) group by bucket),
+    from grams join learnt using (doc_id) group by bucket),
 shown_all as (select coalesce(sum(g), 0) tg, coalesce(sum(b), 0) tb from shown),
 weights as (select bucket, floor((ln((coalesce(g, 0) + 1.0) / (tg + {buckets})) - ln((coalesce(b, 0) + 1.0) / (tb + {buckets})))
     * {quality.GRAM_UNIT} + 0.5)::bigint w from (select unnest(range({buckets})) bucket) left join shown using (bucket), shown_all),

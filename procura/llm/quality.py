@@ -32,6 +32,7 @@ GOOD_SPREAD, BAD_SPREAD = 0.5, 8.0
 GRAM_BUCKETS = 4096       # three characters in a row are counted under one of these
 GRAM_UNIT = 1000          # their log-likelihood ratios are whole thousandths, so sums do not depend on their order
 GRAM_STEPS = 4            # bins of a quarter each, from -GRAM_BINS / 2 / GRAM_STEPS upwards
+GRAM_LABELS = 65_536      # labelled rows that they are learnt from: those of the least MD5 of their id; the other features take all
 PIECE = 1 << 20           # characters of a text looked at together
 # Characters that are neither capitals nor marks, and those of ordinary punctuation.
 PLAIN = r"[\p{Ll}\p{Lt}\p{Lm}\p{Lo}\p{M}\p{N}\p{Z}\x09-\x0D]+"
@@ -57,14 +58,16 @@ def gram_buckets(text: str | None) -> Iterator[np.ndarray]:
 
 
 def learn_grams(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
-                label_id: str = "doc_id", label_col: str = "quality") -> list[int]:
-    """log P(bucket | good) / P(bucket | bad) in thousandths, from the whole texts of all labelled rows, add-one smoothed.
+                label_id: str = "doc_id", label_col: str = "quality", most: int = GRAM_LABELS) -> list[int]:
+    """log P(bucket | good) / P(bucket | bad) in thousandths, from the whole texts of ``most`` labelled rows, add-one smoothed.
 
-    A task adds up its own texts; one row for each bucket and class reaches the driver."""
+    The labelled rows, two numbers each, are broadcast, so texts are not shuffled. A task adds up
+    its own texts; one row for each bucket and class reaches the driver."""
     marked = labels.select(F.col(label_id).alias("lid"), F.col(label_col).cast("int").alias("good")) \
-        .filter(F.col("good").isin(0, 1) & F.col("lid").isNotNull())
+        .filter(F.col("good").isin(0, 1) & F.col("lid").isNotNull()) \
+        .orderBy(F.md5(F.col("lid").cast("string")), "lid", "good").limit(most)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")) \
-        .join(marked, F.col("id") == F.col("lid")).select("good", "body")
+        .join(F.broadcast(marked), F.col("id") == F.col("lid")).select("good", "body")
 
     def count(batches):
         seen = np.zeros((2, GRAM_BUCKETS), np.int64)
