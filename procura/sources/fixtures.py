@@ -350,6 +350,26 @@ def judge_replies(t: Tables) -> DataFrame:
     return t.labels.select("doc_id", (F.col("doc_id") % 5).alias("tenant_id"), body.alias("raw_reply"))
 
 
+def rerank_replies(hits: DataFrame) -> DataFrame:
+    """Rerank replies citing each question's best candidates, in code fences for every third question.
+    By question number modulo 10: 0 breaks off, 1 gives a page as words, 2 cites four, 3 has no reason, 4 cites pages
+    that are no candidates, 5 gives the contract as a number; the rest are sound."""
+    kind = F.col("query_id") % 10
+    page = F.when(kind == 1, F.concat(F.lit('"p'), F.col("page_number").cast("string"), F.lit('"'))) \
+        .when(kind == 4, (F.col("page_number") + 1000).cast("string")).otherwise(F.col("page_number").cast("string"))
+    contract = F.when(kind == 5, F.lit("12")).otherwise(F.concat(F.lit('"'), F.col("contract_number"), F.lit('"')))
+    reason = F.when(kind == 3, F.lit("null")).otherwise(F.lit('"names the terms asked for"'))
+    item = F.concat(F.lit('{"contract_number": '), contract, F.lit(', "page_number": '), page,
+                    F.lit(', "relevant_excerpt": "clause on page '), F.col("page_number").cast("string"),
+                    F.lit('", "relevance_reason": '), reason, F.lit("}"))
+    cited = hits.where(F.col("rank") <= F.when(kind == 2, 4).otherwise(3)).groupBy("query_id") \
+        .agg(F.array_sort(F.collect_list(F.struct("rank", item.alias("item")))).alias("c"))
+    body = F.concat(F.lit('{"results": ['), F.array_join(F.transform("c", lambda x: x["item"]), ", "), F.lit("]"),
+                    F.when(kind == 0, "").otherwise("}"))
+    return cited.select("query_id", F.when(F.col("query_id") % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+                        .otherwise(body).alias("raw_reply"))
+
+
 def invoice_texts(t: Tables) -> DataFrame:
     """Invoice documents in three layouts: clean (ISO date), messy (day/month/year with a
     thousands separator), and dash-separated day-month-year."""
