@@ -188,15 +188,13 @@ def brute_best_fit(histogram, capacities):
 
 def test_packing_plan_matches_piece_by_piece():
     rng = random.Random(9)
-    for _ in range(30):
+    for _ in range(300):
         histogram = {rng.randint(1, 64): rng.randint(1, 30) for _ in range(rng.randint(1, 12))}
-        plan = packing.plan_bins(histogram, (16, 32, 64))
-        assert sorted(plan.bin_used) and sum(plan.length) > 0
+        plan, want = packing.plan_bins(histogram, (16, 32, 64)), brute_best_fit(histogram, (16, 32, 64))
         assert len(plan.length) <= 40 * len(histogram)
-        total = Counter()
-        for start, used in zip(plan.bin_start, plan.bin_used, strict=True):
-            total[start] = used
-        assert set(plan.bin_used) <= set(brute_best_fit(histogram, (16, 32, 64)))
+        ends = [*plan.bin_start[1:], len(want)]
+        fills = [used for start, end, used in zip(plan.bin_start, ends, plan.bin_used, strict=True) for _ in range(end - start)]
+        assert sorted(fills) == want and sum(fills) == sum(length * n for length, n in histogram.items())
 
 
 def test_mixing_meets_targets(spark):

@@ -4,7 +4,7 @@ from collections import Counter
 
 import corpus_pipeline as cp
 from procura.llm import mixing, packing
-from test_operators import AWKWARD, brute_components, brute_fingerprint, docs, lower
+from test_operators import AWKWARD, brute_components, brute_fingerprint, docs, lower, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,9 +49,12 @@ def test_awkward_and_empty_documents_pass_all_stages(spark, tmp_path):
     for case, rows in (("awkward", AWKWARD), ("empty", [])):
         previous = docs(spark, rows)
         for number, (_, stage) in enumerate(cp.STAGES):
+            mixed = previous.collect()
             stage(spark, previous, SF).write.parquet(f"{tmp_path}/{case}{number}")
             previous = spark.read.parquet(f"{tmp_path}/{case}{number}")
-        assert previous.count() >= 0
+        packed = previous.collect()
+        assert sum(r["length"] for r in packed) == sum(len(words(r["text"])) for r in mixed)
+        assert len(packed) >= len(mixed) and bool(mixed) == bool(rows)
 
 
 def test_run(spark):
