@@ -8,26 +8,28 @@ miss. The answers are joined back to the prompts; repeats of a missed key are
 marked as repeats of the first (they would hit once the first is answered).
 
 The semantic tier finds, for each prompt, the most similar cache entry of
-its tenant with cosine >= threshold. It never scores all pairs: with every
-cache vector's terms ordered rare-first, only the leading terms whose
-remaining upper bound could still reach the threshold are indexed (prefix
-filtering, Bayardo et al., WWW 2007). Any pair at or above the threshold
-shares an indexed term, so the candidate set is complete and each candidate
-is then scored exactly.
+its tenant with cosine >= threshold. The vectors of a tenant are dealt into
+blocks, every prompt block meets every cache block in one group, and a group
+scores its pairs exactly in memory (common terms by a matrix product, the others
+by their postings) and reports the pairs at or above the threshold, or the best one of
+each prompt. Pairs are neither shuffled nor stored: the vectors are, once per block
+of the other side.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .blocks import TIE_DIGITS, block_pairs
 from .conversation import prompt_key
 from .runs import PRIMARY_MODEL
 from .search import corpus_idf, term_table, tfidf_weights
 
 SEMANTIC_CACHE_THRESHOLD = 0.75  # fixed value: inclusive similarity threshold
-_EPS = 1e-9
+BLOCK = 8192  # vectors of a block
 
 
 def text_vectors(texts: DataFrame, id_col: str, text_col: str, idf: DataFrame) -> DataFrame:
@@ -41,36 +43,51 @@ def cache_idf(cache: DataFrame) -> DataFrame:
     return corpus_idf(term_table(cache, "cache_id", "prompt_text"), "cache_id")
 
 
+def _packed(vectors: DataFrame, id_col: str) -> DataFrame:
+    """(tenant_id, id, terms, weights): one row per vector. A vector without a tenant meets no other."""
+    v = vectors.where(F.col("tenant_id").isNotNull()).groupBy("tenant_id", F.col(id_col).alias("id")) \
+        .agg(F.collect_list(F.struct("term", "weight")).alias("v"))  # the terms of one text
+    return v.select("tenant_id", "id", F.col("v.term").alias("terms"), F.col("v.weight").alias("weights"))
+
+
+def _met(pvec: DataFrame, cvec: DataFrame, threshold: float, best: bool, block: int = BLOCK) -> DataFrame:
+    """(prompt_id, cache_id, similarity): pairs of a tenant with similarity >= threshold, or with ``best`` the best of
+    each prompt and block. The vectors of a tenant are dealt into blocks of about ``block``; every prompt block
+    meets every cache block in one group (:func:`.blocks.block_pairs`), so no candidate pair is shuffled or stored."""
+    sides = {"p": _packed(pvec, "prompt_id"), "c": _packed(cvec, "cache_id")}
+    blocks = None
+    for side, v in sides.items():
+        n = v.groupBy("tenant_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(f"{side}_blocks"))
+        blocks = n if blocks is None else blocks.join(n, "tenant_id")
+    blocks = F.broadcast(materialize(blocks, "blocks"))  # one row a tenant
+    dealt = {}
+    for side, other in (("p", "c"), ("c", "p")):
+        own = F.pmod(F.xxhash64("id"), F.col(f"{side}_blocks")).cast("int").alias(side)
+        dealt[side] = sides[side].join(blocks, "tenant_id").select(
+            "tenant_id", own, F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(other), "id", "terms", "weights")
+    kind = {side: v.schema["id"].dataType.simpleString() for side, v in sides.items()}
+    key = ["tenant_id", "p", "c"]
+
+    def score(prompts: pa.Table, cache: pa.Table) -> pa.Table:
+        return block_pairs(prompts, cache, threshold, best)
+
+    return dealt["p"].groupBy(*key).cogroup(dealt["c"].groupBy(*key)) \
+        .applyInArrow(score, f"prompt_id {kind['p']}, cache_id {kind['c']}, similarity double")
+
+
 def similar_pairs(pvec: DataFrame, cvec: DataFrame, threshold: float) -> DataFrame:
     """(prompt_id, cache_id, similarity) of all pairs of a tenant with similarity >= threshold.
     Exact; see module doc."""
-    maxw = pvec.groupBy("term").agg(F.max("weight").alias("maxw"))
-    df_c = cvec.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    y = cvec.join(df_c, "term").join(maxw, "term", "left") \
-        .withColumn("bound", F.coalesce("maxw", F.lit(0.0)) * F.col("weight"))
-    w = Window.partitionBy("cache_id").orderBy("df", "term") \
-        .rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    indexed = y.withColumn("suffix", F.sum("bound").over(w)) \
-        .where((F.col("suffix") >= threshold - _EPS) & (F.col("bound") > 0)) \
-        .select("tenant_id", "term", "cache_id")
-    cand = pvec.select("tenant_id", "term", "prompt_id").join(indexed, ["tenant_id", "term"]) \
-        .select("prompt_id", "cache_id").distinct()
-    px = pvec.select("prompt_id", "term", F.col("weight").alias("xw"))
-    cy = cvec.select("cache_id", "term", F.col("weight").alias("yw"))
-    return cand.join(px, "prompt_id").join(cy, ["cache_id", "term"]) \
-        .groupBy("prompt_id", "cache_id").agg(F.sum(F.col("xw") * F.col("yw")).alias("similarity")) \
-        .where(F.col("similarity") >= threshold)
+    return _met(pvec, cvec, threshold, best=False)
 
 
 def semantic_matches(pvec: DataFrame, cvec: DataFrame, threshold: float) -> DataFrame:
     """(prompt_id, cache_id, similarity) for the best cache entry of each prompt with
     similarity >= threshold (ties to the smallest cache id)."""
-    sims = similar_pairs(pvec, cvec, threshold)
-    # Best per prompt: highest similarity, then smallest cache id. A grouped
-    # min_by aggregates partially, so a prompt with very many candidates is
-    # reduced map-side rather than sorted whole in one task.
-    best = sims.groupBy("prompt_id").agg(F.min_by(F.struct("cache_id", "similarity"),
-                                                  F.struct(-F.col("similarity"), F.col("cache_id"))).alias("b"))
+    sims = _met(pvec, cvec, threshold, best=True)
+    # Best per prompt: highest similarity, then smallest cache id, out of one row a cache block.
+    best = sims.groupBy("prompt_id").agg(F.min_by(
+        F.struct("cache_id", "similarity"), F.struct(-F.round("similarity", TIE_DIGITS), F.col("cache_id"))).alias("b"))
     return best.select("prompt_id", F.col("b.cache_id").alias("cache_id"), F.col("b.similarity").alias("similarity"))
 
 
