@@ -77,5 +77,5 @@ def q_ground_truth_flat(t: Tables):
         F.lit(None).cast("double").alias("expected_invoiced_price"),
         F.lit("derived from raw columns").alias("reason"), F.lit(None).cast("string").alias("note"))
     path = shared_path(t.spark, f"ground_truth/{uuid.uuid4().hex}")
-    fl.write_ground_truth_lines(labels, path)
+    fl.write_ground_truth_lines(labels, path, compression="gzip")
     return fl.read_ground_truth_lines(t.spark, path)

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import unsorted_partitions
+
 # Fixed value: the contract key inside a document's file name (first match).
 DOC_KEY_PATTERN = r"(CON-\d+)"
 
@@ -32,10 +34,11 @@ def read_ground_truth_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(GROUND_TRUTH_FLAT).json(path)
 
 
-def write_ground_truth_lines(labels: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_ground_truth_lines(labels: DataFrame, path: str, mode: str = "overwrite", compression: str = "none") -> None:
     """S-14: labels as JSON Lines partitioned by tenant (one invoice per line, so no
     tenant's labels are gathered into a single document)."""
-    labels.write.mode(mode).partitionBy("tenant_id").json(path)
+    with unsorted_partitions(labels.sparkSession):
+        labels.write.mode(mode).option("compression", compression).partitionBy("tenant_id").json(path)
 
 
 def read_golden(spark: SparkSession, path: str) -> dict[str, DataFrame]:
