@@ -254,3 +254,24 @@ def test_materialize_round_trip_and_cleanup(spark):
     drop_materialized(spark)
     root = shared_path(spark, f"tables/{spark.sparkContext.applicationId}").replace("file:", "")
     assert not os.path.exists(root)
+
+
+def test_each_value_of_a_reply_is_read_from_its_text_once(spark):
+    """The rules name a price or a total many times; its text is matched and cast in one place of the plan."""
+    replies = spark.createDataFrame([("d", 1, 1, "{}")], "doc_id string, tenant_id int, attempt int, raw_json string")
+    plan = rp.validate_invoices(replies)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(rp.NUMBER) == 2  # unit price, total
+    items = rp.validate_contracts(replies)._jdf.queryExecution().optimizedPlan().toString()
+    assert items.count(rp.NUMBER) == 1
+
+
+def test_narrow_scans_are_dealt_over_more_tasks(spark, tmp_path):
+    """One row group is one scan task; rows that are costly later are dealt over all cores first."""
+    from procura.sources.tables import spread
+    path = str(tmp_path / "t")
+    spark.range(1000).coalesce(1).write.parquet(path)
+    t = spark.read.parquet(path)
+    dealt = spread(t, "id")
+    assert t.rdd.getNumPartitions() == 1 and dealt.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in dealt.collect()) == list(range(1000))
+    assert spread(dealt, "id") is dealt
