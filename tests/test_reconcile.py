@@ -80,3 +80,18 @@ def test_tenant_scope_isolates_and_fails_closed(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "tenant_id int, name string")
     assert [r.name for r in scope(df, 1).collect()] == ["a"]
     assert scope(df, None).count() == 0
+
+
+def test_metrics_of_rows_labelled_once_equal_the_separate_ones(spark):
+    from procura.operators import evals as ev
+    labels = spark.createDataFrame(
+        [(0, "a", "LEAKAGE_DETECTED", "DUPLICATE_PO"), (0, "b", "LEAKAGE_DETECTED", "PRICE_VARIANCE"),
+         (1, "a", "APPROVED", None), (1, "c", "AMBIGUOUS", None), (None, "d", "LEAKAGE_DETECTED", None)],
+        "tenant_id int, invoice_id string, expected_status string, expected_check_type string")
+    status = spark.createDataFrame([(0, "a", "LEAKAGE_DETECTED"), (0, "b", "LEAKAGE_DETECTED"), (1, "a", "LEAKAGE_DETECTED")],
+                                   "tenant_id int, invoice_id string, reconciliation_status string")
+    found = spark.createDataFrame([(0, "a", "DUPLICATE_PO"), (0, "b", "DUPLICATE_PO")],
+                                  "tenant_id int, invoice_id string, check_type string")
+    judged = ev.labelled(labels, status)
+    assert ev.confusion_counts(judged).collect() == ev.confusion(labels, status).collect() == [(2, 1, 0, 1, 1)]
+    assert ev.type_accuracy(judged, found).collect() == ev.check_type_accuracy(labels, status, found).collect() == [(1, 2, 0.5)]
