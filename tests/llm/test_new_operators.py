@@ -84,6 +84,34 @@ def test_alignment_matches_whole_text_encoding(spark, aligner):
     assert alignment.align_documents(table.limit(0)).count() == 0
 
 
+class Counting:
+    """A tokenizer that notes how many texts each call gets."""
+
+    def __init__(self, tokenizer, name):
+        self.calls, encode = [], getattr(tokenizer, name)
+        setattr(self, name, lambda texts, **options: self.calls.append(len(texts)) or encode(texts, **options))
+
+
+def test_alignment_encodes_words_by_the_line(aligner):
+    """Distinct words share the tokenizers' calls, A gets no batch (which takes more threads than a task has), and
+    words that cannot share a line (a literal U+2581, white space or bad bytes at the end) spoil no others."""
+    rng = random.Random(7)
+    plain = sorted({"".join(rng.choice("abcdeé.'9") for _ in range(rng.randrange(1, 9))) for _ in range(2000)})
+    texts = [" ".join(plain), *(" ".join(plain[i:i + 50] + [odd]) for i, odd in enumerate(["x▁y", "z\n", "", "\u3000", " ", "one"])), *STRANGE]
+    raws = [b" " + t.encode() if t else b"" for t in texts] + [b" one \xc3", b" two \xff three"]
+    small = alignment.Aligner.__new__(alignment.Aligner)
+    small.__dict__ = {**aligner.__dict__, "a": Counting(aligner.a, "encode_batch_fast"), "b": Counting(aligner.b, "encode")}
+    assert small.align(raws[0]).n_groups == len(whole_alignment(aligner, texts[0])[2])
+    assert set(small.a.calls) == {1} and sum(small.a.calls) == sum(small.b.calls) <= len(plain) // alignment.LINE_WORDS + 1
+    found = small.align_all(raws)
+    for text, got in zip(texts, found):
+        a, b, groups = whole_alignment(aligner, text)
+        want = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        assert (got.n_a, got.n_b, got.n_groups, got.groups.decode()) == (len(a), len(b), len(groups), want)
+        assert got.pairs.tolist() == [x[-1] << 32 | y[-1] for x, y in groups]
+    assert not any(c.ok for c in found[len(texts):]) and found[1] == alignment.UNLIKE
+
+
 def test_fragments_compose_in_any_order(aligner):
     """Associativity: byte ranges cut anywhere, composed by any tree, give the whole text's alignment."""
     rng = random.Random(11)
