@@ -103,6 +103,8 @@ def test_alignment_encodes_words_by_the_line(aligner):
     small.__dict__ = {**aligner.__dict__, "a": Counting(aligner.a, "encode_batch_fast"), "b": Counting(aligner.b, "encode")}
     assert small.align(raws[0]).n_groups == len(whole_alignment(aligner, texts[0])[2])
     assert set(small.a.calls) == {1} and sum(small.a.calls) == sum(small.b.calls) <= len(plain) // alignment.LINE_WORDS + 1
+    small.a.calls.clear()
+    assert not small.align(b" x\xe2\x96\x81" + b"y" * 99).ok and small.a.calls == [1]  # a word alone is not tried again
     found = small.align_all(raws)
     for text, got in zip(texts, found):
         a, b, groups = whole_alignment(aligner, text)
