@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +131,33 @@ def test_fragments_compose_in_any_order(aligner):
             assert (done.ok, done.n_a, done.n_b, done.groups) == (whole.ok, whole.n_a, whole.n_b, whole.groups) or not (done.ok or whole.ok)
 
 
+def test_alignment_sends_bounded_batches(spark, aligner, monkeypatch):
+    """A worker gets its rows a few MB at a time, however many a task has; slices have no small rest; a fragment's pairs
+    come back from Arrow as they were."""
+    name, seen, write = "spark.sql.execution.arrow.maxBytesPerBatch", {}, alignment.materialize
+    before = spark.conf.get(name)
+    monkeypatch.setattr(alignment, "materialize", lambda df, to: (seen.update({to: spark.conf.get(name)}), write(df, to))[1])
+    texts = [(i, "one two " * n) for i, n in enumerate((1, 0, 500, 30))]
+    table = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in texts], DOC)
+    monkeypatch.setattr(alignment, "BATCH_BYTES", 512)
+    got = alignment.align_documents(table, chunk_bytes=64).collect()
+    assert sorted((tuple(r[c] for c in COLUMNS) for r in got), key=str) == alignment_rows(texts, aligner)
+    assert seen["fragments"] == seen["aligned"] == "512" and spark.conf.get(name) == before
+
+    monkeypatch.setattr(alignment, "SLICE_BYTES", 100)
+    for sizes in ([7] * 60, [0] * 5, [300, 1, 1, 300], [99] * 3, [1]):
+        batch = pa.RecordBatch.from_pydict({"body": [b"x" * n for n in sizes]})
+        parts = [[len(v) for v in p.column("body").to_pylist()] for p in alignment._slices(batch, "body")]
+        assert [n for p in parts for n in p] == sizes and all(sum(p) <= 150 + max(p) for p in parts)
+        assert len(parts) <= max(1, round(sum(sizes) / 100))
+    found = [alignment.Fragment(b"", None, b""), alignment.Fragment(b"a", aligner.align(b" one two three"), b"b"), alignment.Fragment(b"c", alignment.UNLIKE, b"")]
+    back = alignment._fragments([(i, i, f) for i, f in enumerate(found)])
+    for i, f in enumerate(found):
+        again = alignment._from_row(back, i)
+        assert (again.prefix, again.suffix, again.closed is None) == (f.prefix, f.suffix, f.closed is None)
+        assert f.closed is None or (again.closed.pairs.tolist(), *again.closed[:4], again.closed.ok) == (f.closed.pairs.tolist(), *f.closed[:4], f.closed.ok)
+
+
 def test_alignment_query(spark, aligner):
     texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
     got = registry.op11_alignment(spark, SMALL).collect()
